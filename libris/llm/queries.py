@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from libris.llm.bpe import decoded, encoded
 from libris.llm.common import table
 from libris.llm.line_dedup import dedup_lines
+from libris.llm.simhash import near_duplicates
 from libris.llm.substring_dedup import dedup_substrings
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -20,6 +26,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = table(spark, sf_dir, "documents").select("doc_id", encoded("text", path, pattern).alias("ids"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(decoded("ids", path, pattern), 256).alias("decoded_sha256"),
+    )
+
+
 #: DuckDB: windows by text instead of digest, later occurrences by row number.
 OP2_SQL = r"""
 WITH line AS (
@@ -44,8 +63,10 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
