@@ -12,6 +12,7 @@ from libris.llm.common import table
 from libris.llm.line_dedup import dedup_lines
 from libris.llm.simhash import near_duplicates
 from libris.llm.substring_dedup import dedup_substrings
+from libris.llm.toxicity import held_out, toxicity, train
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 #: DuckDB: windows by text instead of digest, later occurrences by row number.
 OP2_SQL = r"""
 WITH line AS (
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
