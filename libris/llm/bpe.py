@@ -238,7 +238,8 @@ def encoded(text: str | Column, path: str, pattern: str) -> Column:
         np.cumsum([len(x) for x in ids], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
-    return encode(text)
+    # called deterministic it would be computed again for every use of the column
+    return encode.asNondeterministic()(text)
 
 
 def decoded(ids: str | Column, path: str, pattern: str) -> Column:

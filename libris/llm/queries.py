@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from libris.llm.bpe import decoded, encoded
 from libris.llm.common import table
 from libris.llm.line_dedup import dedup_lines
+from libris.llm.media import image_features, stored_text
 from libris.llm.simhash import near_duplicates
 from libris.llm.substring_dedup import dedup_substrings
 from libris.llm.toxicity import held_out, toxicity, train
@@ -47,6 +48,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), stored_text("text").alias("media"))
+    read = stored.withColumn("read", image_features("media"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("read.payload").cast("long").alias("payload_bytes"),
+        F.sha2("read.payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("read.payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "read.width", "read.height"), "read.thumbnail_dhash", "read.thumbnail_xxh64").alias("feature"),
+    )
+
+
 #: DuckDB: windows by text instead of digest, later occurrences by row number.
 OP2_SQL = r"""
 WITH line AS (
@@ -76,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_media": op10_media,
 }
 
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
