@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,12 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def parts(column: pa.Array, most_bytes: int) -> Iterator[pa.Array]:
+    """A text column cut into pieces of about ``most_bytes``; no text is cut."""
+    for batch in slices([pa.RecordBatch.from_arrays([column], ["x"])], "x", most_bytes):
+        yield batch.column(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one text column holds about ``most_bytes`` in each.
 
@@ -63,3 +70,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+class Kept(dict):
+    """Results by key, of at most twice ``most`` keys: what was used since the last turn, and the turn before."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+        self.old: dict = {}
+
+    def learn(self, keys: set, compute: Callable[[list], Iterable[Any]]) -> None:
+        """Makes sure that all ``keys`` are held."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        lacking = keys.difference(self)
+        again = [k for k in lacking if k in self.old]
+        self.update((k, self.old[k]) for k in again)
+        rest = list(lacking.difference(again))
+        self.update(zip(rest, compute(rest), strict=True))

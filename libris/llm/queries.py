@@ -11,6 +11,7 @@ from libris.llm.bpe import decoded, encoded
 from libris.llm.common import table
 from libris.llm.line_dedup import dedup_lines
 from libris.llm.media import image_features, stored_text
+from libris.llm.packing import pack, pieces
 from libris.llm.simhash import near_duplicates
 from libris.llm.substring_dedup import dedup_substrings
 from libris.llm.toxicity import held_out, toxicity, train
@@ -48,6 +49,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Places of all pieces of ``docs``; the ids themselves don't move, only their checksums."""
+    import public_tokenizers
+
+    cut = pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    placed = pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), stored_text("text").alias("media"))
     read = stored.withColumn("read", image_features("media"))
@@ -92,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
 
