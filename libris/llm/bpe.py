@@ -6,7 +6,8 @@ import base64
 import functools
 import re
 from collections.abc import Iterable, Sequence
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from libris.llm.common import parts
+
 #: White space other than space and line feed: such texts aren't cut into chunks first.
 _ODD_SPACE = regex.compile(r"[^\S \n]")
 #: A match of the usual patterns never crosses the place between a character that isn't
@@ -21,6 +24,33 @@ _ODD_SPACE = regex.compile(r"[^\S \n]")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
+class _Index(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+@dataclass
+class _Ragged:
+    """Rows of ids, one after the other."""
+
+    flat: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def joined(parts: Sequence[_Ragged]) -> _Ragged:
+        return _Ragged(np.concatenate([p.flat for p in parts]), np.concatenate([p.counts for p in parts]))
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the given rows, flat."""
+        n = self.counts[rows]
+        first = (np.cumsum(self.counts) - self.counts)[rows]
+        shift = np.repeat(first - (np.cumsum(n) - n), n)
+        return self.flat[shift + np.arange(len(shift))]
+
+
 class RankQueue:
     """Sequence positions by the rank of the merge that could happen there.
 
@@ -37,13 +67,6 @@ class RankQueue:
         self.mid = [0] * (ranks // 4096 + 1)
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket is None:
-            self.fill(rank, [position])
-        else:
-            bucket.append(position)
-
     def fill(self, rank: int, positions: list[int]) -> None:
         """Makes ``positions`` the bucket of a rank that has none."""
         self.buckets[rank] = positions
@@ -52,7 +75,7 @@ class RankQueue:
         self.top |= 1 << (rank >> 12)
 
     def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest rank that has entries, and these, leftmost first."""
+        """The lowest rank that has entries, and these in no order."""
         if not self.top:
             return None
         a = (self.top & -self.top).bit_length() - 1
@@ -65,7 +88,6 @@ class RankQueue:
                 self.top &= self.top - 1
         bucket = self.buckets[rank]
         self.buckets[rank] = None
-        bucket.sort()
         return rank, bucket
 
 
@@ -94,10 +116,14 @@ class ByteBPE:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.merges[left * self.width + right] = rank
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)] + [self.end], np.int64)
-        pairs = self.byte_ids[:, None] * self.width + self.byte_ids[None, :]
-        self.first_rank = np.array([self.merges.get(x, -1) for x in pairs.ravel().tolist()], np.int64).reshape(257, 257)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)] + [self.end], np.int32)
+        pairs = self.byte_ids[:, None].astype(np.int64) * self.width + self.byte_ids[None, :]
+        self.first_rank = np.array([self.merges.get(x, -1) for x in pairs.ravel().tolist()], np.int32).reshape(257, 257)
+        keys = np.array(list(self.merges), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.results = keys[order], np.array(list(self.merges.values()), np.int32)[order]
+        self.index = _Index()
+        self.known = _Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -105,39 +131,82 @@ class ByteBPE:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         return cls(ranks, pattern)
 
-    def merge(self, pieces: Sequence[bytes]) -> list[list[int]]:
+    def _find(self, pairs: np.ndarray) -> np.ndarray:
+        """The merges of many pairs, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        return np.where(self.keys[at] == pairs, self.results[at], np.int32(-1))
+
+    def merge(self, pieces: Sequence[bytes], wide: int = 40) -> _Ragged:
         """The ids of every piece.
 
         All pieces lie in one linked sequence with ends between them and share one
-        queue.  A merge's pair is looked up by its ids, which is the same as by its
-        bytes.  A bucket is left as soon as a merge makes a pair of no higher rank, so
-        each piece sees its merges in the order lowest rank first, leftmost first.
+        queue, so its lowest rank is the lowest of every piece that has an entry
+        there.  A merge's pair is looked up by its ids, which is the same as by its
+        bytes.  A bucket with entries of ``wide`` pieces has one of each merged at once;
+        others are merged in turn, until a merge makes a pair of no higher rank.
+        So each piece sees its merges in the order lowest rank first, leftmost first.
         """
         if not pieces:
-            return []
+            return _Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
         sizes = np.array([len(x) for x in pieces])
         ends = np.cumsum(sizes + 1) - 1
-        raw = np.full(int(ends[-1]) + 1, 256, np.int64)
-        inside = np.ones(len(raw), bool)
+        n = int(ends[-1]) + 1
+        raw = np.full(n, 256, np.int16)
+        inside = np.ones(n, bool)
         inside[ends] = False
         raw[inside] = np.frombuffer(b"".join(pieces), np.uint8)
-        n = len(raw)
-        first = np.append(self.first_rank[raw[:-1], raw[1:]], -1)
+        piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
+        rank_of = np.append(self.first_rank[raw[:-1], raw[1:]], np.int32(-1))
+        ids_of = self.byte_ids[raw]
+        after_of = np.arange(1, n + 1, dtype=np.int32)
+        before_of = np.arange(-1, n - 1, dtype=np.int32)
+        del raw, inside
         queue = RankQueue(self.size)
-        order = np.argsort(first, kind="stable")
-        order = order[int(np.searchsorted(first[order], 0)) :]
+        order = np.argsort(rank_of, kind="stable")
+        order = order[int(np.searchsorted(rank_of[order], 0)) :]
         if len(order):
-            of = first[order]
+            of = rank_of[order]
             cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            for rank, bucket in zip(of[cuts].tolist(), np.split(order, cuts[1:]), strict=True):
-                queue.fill(rank, bucket.tolist())
-        ids = self.byte_ids[raw].tolist()
-        rank_at = first.tolist()
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        find, width, push = self.merges.get, self.width, queue.push
+            for rank, a, b in zip(of[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
+                queue.fill(rank, order[a:b].tolist())
+        del order
+        ids, rank_at, after, before = (memoryview(x) for x in (ids_of, rank_of, after_of, before_of))
+        find, width, buckets, fill, size = self.merges.get, self.width, queue.buckets, queue.fill, self.size
         while (lowest := queue.pop()) is not None:
             rank, bucket = lowest
+            several = False
+            if len(bucket) >= wide:
+                i = np.unique(np.array(bucket, np.int32))
+                i = i[rank_of[i] == rank]  # without the stale ones
+                piece = piece_of[i]
+                leftmost = np.ones(len(i), bool)
+                leftmost[1:] = piece[1:] != piece[:-1]
+                several = int(leftmost.sum()) >= wide
+                bucket = i.tolist()
+            if several:
+                if not leftmost.all():
+                    fill(rank, i[~leftmost].tolist())
+                    i = i[leftmost]
+                j = after_of[i]
+                k = after_of[j]
+                ids_of[i], ids_of[j] = rank, -1
+                rank_of[j] = -1
+                after_of[i] = k
+                before_of[k] = i
+                h = before_of[i]
+                h = h[h >= 0]
+                new_i = self._find(rank * width + ids_of[k].astype(np.int64))
+                new_h = self._find(ids_of[h].astype(np.int64) * width + rank)
+                rank_of[i], rank_of[h] = new_i, new_h
+                ranks, places = np.concatenate([new_i, new_h]), np.concatenate([i, h])
+                on = ranks >= 0
+                for r, p in zip(ranks[on].tolist(), places[on].tolist(), strict=True):
+                    if (other := buckets[r]) is None:
+                        fill(r, [p])
+                    else:
+                        other.append(p)
+                continue
+            bucket.sort()
             for at, i in enumerate(bucket):
                 if rank_at[i] != rank:
                     continue  # stale
@@ -148,72 +217,79 @@ class ByteBPE:
                 rank_at[j] = -1
                 after[i] = k
                 before[k] = i
-                new = find(rank * width + ids[k], -1)
-                rank_at[i] = new
-                least = size = self.size
+                rank_at[i] = new = find(rank * width + ids[k], -1)
+                least = size
                 if new >= 0:
-                    push(new, i)
+                    if (other := buckets[new]) is None:
+                        fill(new, [i])
+                    else:
+                        other.append(i)
                     least = new
                 h = before[i]
                 if h >= 0:
-                    new = find(ids[h] * width + rank, -1)
-                    rank_at[h] = new
+                    rank_at[h] = new = find(ids[h] * width + rank, -1)
                     if new >= 0:
-                        push(new, h)
+                        if (other := buckets[new]) is None:
+                            fill(new, [h])
+                        else:
+                            other.append(h)
                         if new < least:
                             least = new
-                if least < size and least <= rank:
-                    rest = bucket[at + 1 :]
-                    if rest:
-                        if queue.buckets[rank] is None:
-                            queue.fill(rank, rest)
+                if least <= rank:
+                    if rest := bucket[at + 1 :]:
+                        if buckets[rank] is None:
+                            fill(rank, rest)
                         else:
-                            queue.buckets[rank].extend(rest)
+                            buckets[rank].extend(rest)
                     break
-        flat = np.array(ids)
-        flat = flat[flat >= 0]
-        stops = np.flatnonzero(flat == self.end)
-        flat_list = flat.tolist()
-        return [flat_list[a:b] for a, b in zip([0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True)]
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Encodes chunks that the cache hasn't, all at once."""
-        found = {c: [x.encode() for x in self.pattern.findall(c)] for c in chunks}
-        known = {p: (self.ranks[p],) for pieces in found.values() for p in pieces if p in self.ranks}
-        rest = list(dict.fromkeys(p for pieces in found.values() for p in pieces if p not in known))
-        most = 1 << 21
-        start = 0
-        while start < len(rest):
+        alive = ids_of >= 0
+        real = alive & (ids_of != self.end)
+        return _Ragged(ids_of[real], np.bincount(piece_of[real], minlength=len(pieces)))
+
+    def _chunks(self, chunks: Sequence[str]) -> _Ragged:
+        """The ids of each chunk; all their pieces go through the queue together."""
+        pieces = _Index()
+        found = [[pieces[x] for x in self.pattern.findall(c)] for c in chunks]
+        raw = [x.encode() for x in pieces]
+        whole = np.array([self.ranks.get(x, -1) for x in raw], np.int32)
+        parts = np.flatnonzero(whole < 0)
+        merged: list[_Ragged] = [_Ragged(whole[whole >= 0], np.ones(int((whole >= 0).sum()), np.int64))]
+        start, most = 0, 1 << 21
+        while start < len(parts):
             stop, size = start, 0
-            while stop < len(rest) and (size < most or stop == start):
-                size += len(rest[stop])
+            while stop < len(parts) and (size < most or stop == start):
+                size += len(raw[parts[stop]])
                 stop += 1
-            known.update(zip(rest[start:stop], map(tuple, self.merge(rest[start:stop])), strict=True))
-            start = stop
-        for c, pieces in found.items():
-            self.cache[c] = tuple(chain.from_iterable(map(known.__getitem__, pieces))) if len(pieces) != 1 else known[pieces[0]]
-
-    def encode_batch(self, texts: Sequence[str], most_cached: int = 600_000, most_chars: int = 4 << 20) -> Iterable[np.ndarray]:
-        """The ids of each text.  Chunks seen lately are kept, ``most_cached`` or those of ``most_chars`` characters."""
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (size < most_chars or stop == start):
-                size += len(texts[stop])
-                stop += 1
-            cut = [_CHUNK.findall(t) if not _ODD_SPACE.search(t) else [t] for t in texts[start:stop]]
-            seen = set().union(*cut)
-            if len(self.cache) > most_cached:
-                self.cache = {c: self.cache[c] for c in seen if c in self.cache}
-            self._learn(seen.difference(self.cache))
-            for chunks in cut:
-                yield np.fromiter(chain.from_iterable(map(self.cache.__getitem__, chunks)), np.int32)
-            for c in (c for c in seen if len(c) > 200):  # rare and long: not worth keeping
-                del self.cache[c]
+            merged.append(self.merge([raw[p] for p in parts[start:stop].tolist()]))
             start = stop
+        by_piece = np.empty(len(raw), np.int64)
+        by_piece[whole >= 0] = np.arange(len(raw) - len(parts))
+        by_piece[parts] = np.arange(len(raw) - len(parts), len(raw))
+        counts = np.array([len(x) for x in found], np.int64)
+        use = by_piece[np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))] if len(raw) else np.zeros(0, np.int64)
+        ids = _Ragged.joined(merged)
+        out = ids.take(use)
+        ends = np.cumsum(ids.counts[use])
+        at = np.cumsum(counts)
+        total = np.r_[0, ends][at]
+        return _Ragged(out, np.diff(total, prepend=0))
+
+    def encode_flat(self, texts: Sequence[str], most_kept: int = 300_000) -> _Ragged:
+        """The ids of all texts; chunks seen lately are kept."""
+        if len(self.index) > most_kept:
+            self.index = _Index()
+            self.known = _Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
+        had = len(self.index)
+        number = self.index.__getitem__
+        rows = [np.fromiter(map(number, _CHUNK.findall(t) if not _ODD_SPACE.search(t) else [t]), np.int32) for t in texts]
+        self.known = _Ragged.joined([self.known, self._chunks(list(islice(self.index, had, None)))])
+        used = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        flat = self.known.take(used)
+        ends = np.r_[0, np.cumsum(self.known.counts[used])]
+        return _Ragged(flat, np.diff(ends[np.cumsum([0, *map(len, rows)])]))
 
     def encode(self, text: str) -> list[int]:
-        return next(iter(self.encode_batch([text]))).tolist()
+        return self.encode_flat([text]).flat.tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -233,10 +309,12 @@ def encoded(text: str | Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        ids = list(tokenizer(path, pattern).encode_batch([x or "" for x in column.to_pylist()]))
-        offsets = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(x) for x in ids], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        bpe = tokenizer(path, pattern)
+        done = [bpe.encode_flat([x or "" for x in part.to_pylist()]) for part in parts(column, 8 << 20)]
+        offsets = np.zeros(len(column) + 1, np.int32)
+        if done:
+            np.cumsum(np.concatenate([d.counts for d in done]), out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([d.flat for d in done]) if done else np.zeros(0, np.int32)))
 
     # called deterministic it would be computed again for every use of the column
     return encode.asNondeterministic()(text)
@@ -248,11 +326,6 @@ def decoded(ids: str | Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(column: pa.Array) -> pa.Array:
         bpe = tokenizer(path, pattern)
-        flat = column.flatten().to_pylist()
-        out, at = [], 0
-        for size in column.value_lengths().to_pylist():
-            out.append(None if size is None else bpe.decode(flat[at : at + size]))
-            at += size or 0
-        return pa.array(out, pa.binary())
+        return pa.array([None if x is None else bpe.decode(x) for x in (None if not v.is_valid else v.values.to_numpy().tolist() for v in column)], pa.binary())
 
     return decode(ids)
