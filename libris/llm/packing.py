@@ -12,10 +12,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from libris.llm.common import Kept, checkpointed, slices, strings
+from libris.llm.common import Kept, checkpointed, parts, slices, strings
 
 #: Python's white space that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -55,6 +55,16 @@ def _cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+def token_counts(text: str | Column, path: str) -> Column:
+    """Column of the numbers of ids of a text column; null counts as the empty text."""
+
+    @F.arrow_udf("long")
+    def count(column: pa.Array) -> pa.Array:
+        return pa.array([len(ids) for part in parts(column, 4 << 20) for ids in _cache(path).encode_batch(strings(part))], pa.int64())
+
+    return count(text)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2) -> DataFrame:
     """(id_col, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut at multiples of ``capacity``.
 

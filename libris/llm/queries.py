@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,24 @@ from pyspark.sql import functions as F
 
 from libris.llm.ann import nearest
 from libris.llm.bpe import decoded, encoded
-from libris.llm.common import table
+from libris.llm.common import checkpointed, shared_folder, table
 from libris.llm.line_dedup import dedup_lines
 from libris.llm.media import image_features, stored_text
-from libris.llm.packing import pack, pieces
+from libris.llm.packing import pack, pieces, token_counts
 from libris.llm.simhash import near_duplicates
 from libris.llm.substring_dedup import dedup_substrings
+from libris.llm.token_counts import Rollup, byte_bpe_counts
 from libris.llm.toxicity import held_out, toxicity, train
+from libris.llm.url_filter import filter_urls, rules
+
+#: The rules for pages.
+URL_RULES = """
+allow com/
+block example.com/en/
+allow www.example.com/en/
+block net/es/
+block net/fr/
+"""
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +42,33 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules(URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: documents come in with a guess, the guess is revised to the
+    count, documents without a token go, and the first two batches arrive once more."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    versions = {
+        "byte_bpe_50k": byte_bpe_counts("text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        "word_bpe_49k": token_counts("text", public_tokenizers.path("word_bpe_49k.json")),
+    }
+    counted = docs.select("source", "lang", F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long").alias("guess"), *[c.alias(v) for v, c in versions.items()])
+    each = checkpointed(counted).select("source", "lang", "guess", F.inline(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(v).alias("tokens")) for v in versions])))
+    none = {"old_source": F.lit(None).cast("string"), "old_lang": F.lit(None).cast("string"), "old_tokens": F.lit(None).cast("long")}
+    loaded = each.withColumns({"change": F.lit("insert"), "tokens": F.col("guess"), **none})
+    revised = each.withColumns({"change": F.lit("revise"), "old_source": F.col("source"), "old_lang": F.col("lang"), "old_tokens": F.col("guess")})
+    emptied = each.where("tokens = 0").withColumns({"change": F.lit("delete"), **none})
+    rollup = Rollup(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+    for name, batch in (("load", loaded), ("revise", revised), ("empty", emptied), ("load", loaded), ("revise", revised)):
+        rollup.commit(name, batch)
+    return rollup.totals()
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
@@ -109,6 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_ann": op3_ann,
+    "op4_url_filter": op4_url_filter,
+    "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,

@@ -260,12 +260,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Fingerprints have 64 * words bits, of which documents at the wanted Jaccard
     similarity differ in :func:`similar_bits` on average; ``slack`` is added to that
-    radius.  Candidates share one of ``tables`` sampled keys of ``width`` bits.  Texts
-    without a word are all equal here, so they stay out: such rows are kept, like
-    rows whose id is null.  Of several rows of the surviving id all stay.
+    radius.  Candidates share one of ``tables`` sampled keys of ``width`` bits.  Null
+    texts and texts without a word are equal, so one of them stays.  Rows whose id is
+    null are kept and hide none; of several rows of a surviving id all stay.
     """
-    has_word = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    judged = docs.where(F.col(f"`{id_col}`").isNotNull() & has_word)
+    judged = docs.where(F.col(f"`{id_col}`").isNotNull())
     bits = 64 * words
     found = near_duplicates(judged, id_col, text_col, shingle, words, similar_bits(bits, similarity) + slack, sampled_tables(bits, tables, width))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(f"{OWN}id")).distinct()
