@@ -254,7 +254,7 @@ class ByteBPE:
         whole = np.array([self.ranks.get(x, -1) for x in raw], np.int32)
         parts = np.flatnonzero(whole < 0)
         merged: list[_Ragged] = [_Ragged(whole[whole >= 0], np.ones(int((whole >= 0).sum()), np.int64))]
-        start, most = 0, 1 << 21
+        start, most = 0, 1 << 20
         while start < len(parts):
             stop, size = start, 0
             while stop < len(parts) and (size < most or stop == start):
@@ -274,7 +274,7 @@ class ByteBPE:
         total = np.r_[0, ends][at]
         return _Ragged(out, np.diff(total, prepend=0))
 
-    def encode_flat(self, texts: Sequence[str], most_kept: int = 300_000) -> _Ragged:
+    def encode_flat(self, texts: Sequence[str], most_kept: int = 250_000) -> _Ragged:
         """The ids of all texts; chunks seen lately are kept."""
         if len(self.index) > most_kept:
             self.index = _Index()
@@ -295,6 +295,14 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@functools.lru_cache(maxsize=4)
+def vocabulary(path: str) -> list[bytes]:
+    """The tokens by id, all that decoding needs."""
+    with open(path, "rb") as lines:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in lines if line.strip())}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str, pattern: str) -> ByteBPE:
     """One per worker process and vocabulary."""
@@ -320,12 +328,13 @@ def encoded(text: str | Column, path: str, pattern: str) -> Column:
     return encode.asNondeterministic()(text)
 
 
-def decoded(ids: str | Column, path: str, pattern: str) -> Column:
+def decoded(ids: str | Column, path: str) -> Column:
     """Column of the bytes that a column of token ids stands for; null gives null, an unknown id is an error."""
 
     @F.arrow_udf("binary")
     def decode(column: pa.Array) -> pa.Array:
-        bpe = tokenizer(path, pattern)
-        return pa.array([None if x is None else bpe.decode(x) for x in (None if not v.is_valid else v.values.to_numpy().tolist() for v in column)], pa.binary())
+        token = vocabulary(path).__getitem__
+        rows = (v.values.to_numpy() if v.is_valid else None for v in column)
+        return pa.array((None if x is None else b"".join(map(token, x.tolist())) for x in rows), pa.binary(), size=len(column))
 
     return decode(ids)

@@ -82,7 +82,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decoded("ids", path, pattern), 256).alias("decoded_sha256"),
+        F.sha2(decoded("ids", path), 256).alias("decoded_sha256"),
     )
 
 
