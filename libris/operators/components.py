@@ -23,19 +23,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Large-star and small-star rounds: each hangs neighbours on smaller nodes until
     all edges point to a root, in about log2 of the longest path.  Only smallest
     neighbours are aggregated, with partial sums before the shuffle; no node's
-    neighbours are gathered.  Each round's edges are checkpointed.  Loops and
-    repeated edges don't matter; a null end drops its edge.
+    neighbours are gathered.  Each round's edges are checkpointed.  Loops, repeated
+    edges and edges with a null end don't matter.
     """
-    e = edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") > F.col("lo")))
+    e = edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where("hi > lo")
     e = checkpointed(e.distinct())
     before = None
     for _ in range(most_rounds):
-        state = tuple(e.agg(F.count("*"), F.sum("hi").cast("string"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
-        if state == before or state[0] == 0:
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()) if state[0] else e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        state = tuple(e.agg(F.count("*"), F.bit_xor("hi"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+        if state == before or not state[0]:
+            root = F.col("lo").alias("root")
+            return e.select(F.col("hi").alias("node"), root).unionByName(e.select(F.col("lo").alias("node"), root).distinct())
         before = state
-        least = e.groupBy(F.col("lo").alias("u")).agg(F.lit(None).cast("long").alias("m")).select("u").join(e.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), "u", "left").withColumn("m", F.coalesce("m", "u"))
-        large = e.join(least.select(_key("u").alias("k"), "m"), _key("lo") == F.col("k")).select("hi", F.col("m").alias("lo")).distinct()
+        least = e.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        large = e.join(least.select(_key("u").alias("k"), "m"), _key("lo") == F.col("k"), "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
         large = checkpointed(large)
         small = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         again = large.join(small.select(_key("u").alias("k"), "m"), _key("hi") == F.col("k")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))

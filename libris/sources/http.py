@@ -14,6 +14,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from libris.functions.text import normalize_isbn, url_encode
 
@@ -44,7 +45,8 @@ def fetch(requests: DataFrame, transport: Transport, url_col: str = "url") -> Da
                     answers.append((0, repr(error)))
             yield batch.assign(status=[int(a[0]) for a in answers], body=[a[1] for a in answers])
 
-    return requests.mapInPandas(run, requests.schema.add("status", "int").add("body", "string"))
+    schema = T.StructType([*requests.schema.fields, T.StructField("status", T.IntegerType()), T.StructField("body", T.StringType())])
+    return requests.mapInPandas(run, schema)
 
 
 def ok() -> Column:
