@@ -6,8 +6,7 @@ import base64
 import functools
 import re
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from libris.llm.common import parts
+from libris.llm.common import Numbered, Ragged, Remembered, parts
 
 #: White space other than space and line feed: such texts aren't cut into chunks first.
 _ODD_SPACE = regex.compile(r"[^\S \n]")
@@ -24,33 +23,6 @@ _ODD_SPACE = regex.compile(r"[^\S \n]")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
-class _Index(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
-
-
-@dataclass
-class _Ragged:
-    """Rows of ids, one after the other."""
-
-    flat: np.ndarray
-    counts: np.ndarray
-
-    @staticmethod
-    def joined(parts: Sequence[_Ragged]) -> _Ragged:
-        return _Ragged(np.concatenate([p.flat for p in parts]), np.concatenate([p.counts for p in parts]))
-
-    def take(self, rows: np.ndarray) -> np.ndarray:
-        """The ids of the given rows, flat."""
-        n = self.counts[rows]
-        first = (np.cumsum(self.counts) - self.counts)[rows]
-        shift = np.repeat(first - (np.cumsum(n) - n), n)
-        return self.flat[shift + np.arange(len(shift))]
-
-
 class RankQueue:
     """Sequence positions by the rank of the merge that could happen there.
 
@@ -98,7 +70,7 @@ class ByteBPE:
     id is its rank; there are no special tokens.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 250_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must have a rank")
         self.ranks = ranks
@@ -122,8 +94,7 @@ class ByteBPE:
         keys = np.array(list(self.merges), np.int64)
         order = np.argsort(keys)
         self.keys, self.results = keys[order], np.array(list(self.merges.values()), np.int32)[order]
-        self.index = _Index()
-        self.known = _Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.kept = Remembered(self._chunks, most_kept)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -136,7 +107,7 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
         return np.where(self.keys[at] == pairs, self.results[at], np.int32(-1))
 
-    def merge(self, pieces: Sequence[bytes], wide: int = 40) -> _Ragged:
+    def merge(self, pieces: Sequence[bytes], wide: int = 40) -> Ragged:
         """The ids of every piece.
 
         All pieces lie in one linked sequence with ends between them and share one
@@ -147,7 +118,7 @@ class ByteBPE:
         So each piece sees its merges in the order lowest rank first, leftmost first.
         """
         if not pieces:
-            return _Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
+            return Ragged.empty()
         sizes = np.array([len(x) for x in pieces])
         ends = np.cumsum(sizes + 1) - 1
         n = int(ends[-1]) + 1
@@ -244,16 +215,16 @@ class ByteBPE:
                     break
         alive = ids_of >= 0
         real = alive & (ids_of != self.end)
-        return _Ragged(ids_of[real], np.bincount(piece_of[real], minlength=len(pieces)))
+        return Ragged(ids_of[real], np.bincount(piece_of[real], minlength=len(pieces)))
 
-    def _chunks(self, chunks: Sequence[str]) -> _Ragged:
+    def _chunks(self, chunks: Sequence[str]) -> Ragged:
         """The ids of each chunk; all their pieces go through the queue together."""
-        pieces = _Index()
+        pieces = Numbered()
         found = [[pieces[x] for x in self.pattern.findall(c)] for c in chunks]
         raw = [x.encode() for x in pieces]
         whole = np.array([self.ranks.get(x, -1) for x in raw], np.int32)
         parts = np.flatnonzero(whole < 0)
-        merged: list[_Ragged] = [_Ragged(whole[whole >= 0], np.ones(int((whole >= 0).sum()), np.int64))]
+        merged: list[Ragged] = [Ragged(whole[whole >= 0], np.ones(int((whole >= 0).sum()), np.int64))]
         start, most = 0, 1 << 20
         while start < len(parts):
             stop, size = start, 0
@@ -266,30 +237,16 @@ class ByteBPE:
         by_piece[whole >= 0] = np.arange(len(raw) - len(parts))
         by_piece[parts] = np.arange(len(raw) - len(parts), len(raw))
         counts = np.array([len(x) for x in found], np.int64)
-        use = by_piece[np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))] if len(raw) else np.zeros(0, np.int64)
-        ids = _Ragged.joined(merged)
-        out = ids.take(use)
-        ends = np.cumsum(ids.counts[use])
-        at = np.cumsum(counts)
-        total = np.r_[0, ends][at]
-        return _Ragged(out, np.diff(total, prepend=0))
-
-    def encode_flat(self, texts: Sequence[str], most_kept: int = 250_000) -> _Ragged:
-        """The ids of all texts; chunks seen lately are kept."""
-        if len(self.index) > most_kept:
-            self.index = _Index()
-            self.known = _Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
-        had = len(self.index)
-        number = self.index.__getitem__
-        rows = [np.fromiter(map(number, _CHUNK.findall(t) if not _ODD_SPACE.search(t) else [t]), np.int32) for t in texts]
-        self.known = _Ragged.joined([self.known, self._chunks(list(islice(self.index, had, None)))])
-        used = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        flat = self.known.take(used)
-        ends = np.r_[0, np.cumsum(self.known.counts[used])]
-        return _Ragged(flat, np.diff(ends[np.cumsum([0, *map(len, rows)])]))
+        if not len(raw):
+            return Ragged(np.zeros(0, np.int32), counts * 0)
+        return Ragged.joined(merged).grouped(by_piece[np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))], counts)
+
+    def encode_all(self, texts: Sequence[str]) -> Ragged:
+        """The ids of each text."""
+        return self.kept.encoded(_CHUNK.findall(t) if not _ODD_SPACE.search(t) else [t] for t in texts)
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_flat([text]).flat.tolist()
+        return self.encode_all([text]).flat.tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -318,7 +275,7 @@ def encoded(text: str | Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         bpe = tokenizer(path, pattern)
-        done = [bpe.encode_flat([x or "" for x in part.to_pylist()]) for part in parts(column, 8 << 20)]
+        done = [bpe.encode_all([x or "" for x in part.to_pylist()]) for part in parts(column, 8 << 20)]
         offsets = np.zeros(len(column) + 1, np.int32)
         if done:
             np.cumsum(np.concatenate([d.counts for d in done]), out=offsets[1:])

@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterable, Iterator
-from typing import Any
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from libris.checkpoints import checkpointed, shared_folder
+
+__all__ = ["OWN", "Numbered", "Ragged", "Remembered", "checkpointed", "parts", "shared_folder", "slices", "strings", "table", "without"]
+
 #: Columns that an operator adds while it works start with this, so that they
 #: can't clash with columns of the input.
 OWN = "__libris_"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below the one that ``spark.checkpoint.dir`` names.
-
-    Only a local session that names none gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="libris-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,9 +47,6 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16
 
     No row is cut: a text that is longer than that is alone in its batch.
     """
-    import numpy as np
-    import pyarrow.compute as pc
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,21 +60,60 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16
             start = stop
 
 
-class Kept(dict):
-    """Results by key, of at most twice ``most`` keys: what was used since the last turn, and the turn before."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
-        self.old: dict = {}
-
-    def learn(self, keys: set, compute: Callable[[list], Iterable[Any]]) -> None:
-        """Makes sure that all ``keys`` are held."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        lacking = keys.difference(self)
-        again = [k for k in lacking if k in self.old]
-        self.update((k, self.old[k]) for k in again)
-        rest = list(lacking.difference(again))
-        self.update(zip(rest, compute(rest), strict=True))
+class Numbered(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+@dataclass
+class Ragged:
+    """Rows of ids, one after the other."""
+
+    flat: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def empty() -> Ragged:
+        return Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    @staticmethod
+    def joined(parts: Sequence[Ragged]) -> Ragged:
+        return Ragged(np.concatenate([p.flat for p in parts]), np.concatenate([p.counts for p in parts]))
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the given rows, flat."""
+        n = self.counts[rows]
+        first = (np.cumsum(self.counts) - self.counts)[rows]
+        shift = np.repeat(first - (np.cumsum(n) - n), n)
+        return self.flat[shift + np.arange(len(shift))]
+
+    def grouped(self, rows: np.ndarray, sizes: np.ndarray) -> Ragged:
+        """Longer rows, made of the rows of these numbers: the first ``sizes[0]`` of them, and so on."""
+        ends = np.r_[0, np.cumsum(self.counts[rows])]
+        return Ragged(self.take(rows), np.diff(ends[np.r_[0, np.cumsum(sizes)]]))
+
+
+class Remembered:
+    """Ids of chunks of text; those of chunks seen lately are kept.
+
+    A text is a row of chunk numbers, so that the text's own ids are gathered from
+    what is kept without a step per id.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Ragged], most: int):
+        self.encode, self.most = encode, most
+        self.numbers, self.ids = Numbered(), Ragged.empty()
+
+    def encoded(self, chunked: Iterable[Iterable[str]]) -> Ragged:
+        """The ids of texts that are given by their chunks."""
+        if len(self.numbers) > self.most:
+            self.numbers, self.ids = Numbered(), Ragged.empty()
+        had = len(self.numbers)
+        number = self.numbers.__getitem__
+        rows = [np.fromiter(map(number, chunks), np.int32) for chunks in chunked]
+        self.ids = Ragged.joined([self.ids, self.encode(list(islice(self.numbers, had, None)))])
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        return self.ids.grouped(np.concatenate(rows) if rows else np.zeros(0, np.int64), sizes)

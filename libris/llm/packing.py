@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from libris.llm.common import Kept, checkpointed, parts, slices, strings
+from libris.llm.common import Numbered, Ragged, Remembered, checkpointed, parts, slices, strings
 
 #: Python's white space that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -24,30 +24,41 @@ _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 class WordCache:
     """Ids of texts by a tokenizer that drops white space and treats words between it separately.
 
-    Words seen lately are kept.  A text with control characters that only Python
-    takes for white space is encoded as a whole.
+    The tokenizer also parts letters from what isn't one, so a word's full stops and
+    commas at its end are encoded for themselves; it makes letters small, which is done
+    before where all are ASCII.  A text with control characters that only Python takes
+    for white space is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_kept: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept = Kept(200_000)
-
-    def _words(self, words: Sequence[str]) -> Iterator[tuple[int, ...]]:
-        for start in range(0, len(words), 20_000):
-            for e in self.tokenizer.encode_batch_fast(words[start : start + 20_000], add_special_tokens=False):
-                yield tuple(e.ids)
+        self.kept = Remembered(self._words, most_kept)
+
+    def _words(self, words: list[str]) -> Ragged:
+        bare = Numbered()
+        used: list[int] = []
+        sizes: list[int] = []
+        for w in words:
+            if w[-1:] in ".," and (core := w.rstrip(".,")) and core[-1].lower().isalpha():
+                used += (bare[core], bare[w[len(core) :]])
+                sizes.append(2)
+            else:
+                used.append(bare[w])
+                sizes.append(1)
+        distinct = list(bare)
+        found: list[list[int]] = []
+        for start in range(0, len(distinct), 20_000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(distinct[start : start + 20_000], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = Ragged(np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts)
+        return ids.grouped(np.array(used, np.int64), np.array(sizes, np.int64))
 
-    def encode_batch(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        cut = [t.split() if not _ODD_SPACE.search(t) else [t] for t in texts]
-        self.kept.learn(set().union(*cut), self._words)
-        for words in cut:
-            yield np.fromiter(chain.from_iterable(map(self.kept.__getitem__, words)), np.uint32)
-        for w in [w for words in cut for w in words if len(w) > 200]:
-            self.kept.pop(w, None)
+    def encode_all(self, texts: Sequence[str]) -> Ragged:
+        return self.kept.encoded([t] if _ODD_SPACE.search(t) else (t.lower() if t.isascii() else t).split() for t in texts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -60,7 +71,7 @@ def token_counts(text: str | Column, path: str) -> Column:
 
     @F.arrow_udf("long")
     def count(column: pa.Array) -> pa.Array:
-        return pa.array([len(ids) for part in parts(column, 4 << 20) for ids in _cache(path).encode_batch(strings(part))], pa.int64())
+        return pa.array([n for part in parts(column, 8 << 20) for n in _cache(path).encode_all(strings(part)).counts.tolist()], pa.int64())
 
     return count(text)
 
@@ -73,11 +84,15 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             rows = []
-            for ident, ids in zip(batch.column("id").to_pylist(), _cache(path).encode_batch(strings(batch.column("text"))), strict=True):
-                raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
-                n = len(raw) // 4
+            encoded = _cache(path).encode_all(strings(batch.column("text")))
+            end = np.array([end_id], "<u4").tobytes()
+            raw_all, at = encoded.flat.astype("<u4").tobytes(), 0
+            for ident, count in zip(batch.column("id").to_pylist(), encoded.counts.tolist(), strict=True):
+                raw = raw_all[4 * at : 4 * (at + count)] + end
+                at += count
+                n = count + 1
                 rows += [(ident, s, min(capacity, n - s), n, raw[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "start", "length", "doc_tokens", "ids"])
@@ -226,7 +241,7 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     return Plan(of, rank, seq, each, slot, sequence)
 
 
-def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = 4096, unit: int = 16, bucket_rows: int = 20_000) -> DataFrame:
+def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = 4096, unit: int = 16, bucket_rows: int = 4_000) -> DataFrame:
     """``cut`` (from :func:`pieces`, with any further columns) with ``sequence_id`` and ``offset`` for each piece.
 
     Lengths are counted in units of ``unit`` ids, rounded up, so the histogram has at
