@@ -30,6 +30,7 @@ Segmenter = Callable[[str], tuple[list[str], list[tuple[int, int, str]]]]
 _SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("id", pa.int64()), ("place", pa.int64())])
 #: place = first piece << SHIFT | pieces after it
 SHIFT = 24
+_TURN = 0x2545F491
 
 
 def digest(normal: str) -> bytes:
@@ -106,9 +107,13 @@ def remove_repeats(docs: DataFrame, segment: Segmenter, id_col: str, text_col: s
         .where(F.col("id").isNotNull() & F.col("text").isNotNull())
         .mapInArrow(_emit(segment), "k1 long, k2 int, id long, place long")
     )
-    first = spans.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
+    first = spans.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    # the key is changed on both sides: the join then deals the spans itself, and a hot
+    # digest is a skewed partition that adaptive execution splits
+    turned = F.col("k1").bitwiseXOR(F.lit(_TURN).cast("long"))
     marks = (
-        spans.join(first, ["k1", "k2"])
+        spans.select(turned.alias("key"), "k2", "id", "place")
+        .join(first.select(turned.alias("key"), "k2", "lo"), ["key", "k2"])
         .where("id > lo")
         .groupBy("id")
         .agg(F.collect_list(F.struct("place", "k2")).alias(f"{OWN}marks"))
