@@ -225,15 +225,15 @@ def nearest(
     grid = np.array([max(1, -(-sizes.get(p, (0, 0))[0] // block)) for p in range(n_parts)])
     rows_in = np.array([sizes.get(p, (0, 0))[1] for p in range(n_parts)], np.int64)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<long>")
     def visits(v: pa.Array) -> pa.Array:
         order = np.argsort(-router.scores(_matrix(v)), axis=1, kind="stable")
         held = np.cumsum(rows_in[order], axis=1)
         n = np.maximum(probes, (held < k + 1).sum(axis=1) + 1)
-        return pa.array([[c for p in row[:m].tolist() if rows_in[p] for c in range(p << 16, (p << 16) + grid[p])] for row, m in zip(order, np.minimum(n, n_parts).tolist(), strict=True)], pa.list_(pa.int32()))
+        return pa.array([[c for p in row[:m].tolist() if rows_in[p] for c in range(p << 32, (p << 32) + int(grid[p]))] for row, m in zip(order, np.minimum(n, n_parts).tolist(), strict=True)], pa.list_(pa.int64()))
 
     blocks = F.element_at(F.array(*[F.lit(int(g)) for g in grid]), F.col("part") + 1)
-    candidates = filed.select(F.shiftleft("part", 16).bitwiseOR(F.pmod(F.xxhash64("key", F.lit(7)), blocks).cast("int")).alias("cell"), F.lit(None).cast("long").alias("query"), "v", "ids")
+    candidates = filed.select(F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("key", F.lit(7)), blocks)).alias("cell"), F.lit(None).cast("long").alias("query"), "v", "ids")
     queries = given.where("q").select("id", "v").dropDuplicates(["id", "v"])
     asked = queries.withColumn("cell", F.explode(visits("v"))).select("cell", F.col("id").alias("query"), "v", F.lit(None).cast("array<long>").alias("ids"))
 

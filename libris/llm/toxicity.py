@@ -161,7 +161,7 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = 1500, most_chars: int = 200_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = 1500, most_chars: int = 50_000) -> Model:
     """A model from at most ``each`` toxic and 2 * ``each`` ordinary labelled rows that aren't held out.
 
     The rows are those of the smallest hashes of the id, so the same for any
