@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -142,20 +143,25 @@ def may_be_same_work(ta: Column, aa: Column, tb: Column, ab: Column, least: floa
     return (joint >= least) | ((upper_bound(ta, tb) >= least) & (upper_bound(aa, ab) > SAME_AUTHOR))
 
 
-#: Left keys of one size are dealt to this many tasks, each of which gets the right keys of that size.
-_SALTS = 32
-
-
 def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs whose lengths may be within a factor of four; both sides have distinct rows and a ``size``.
 
     An equi-join on the length's power of two, the left side with two neighbours on
-    either side, finds them all.  Lengths are few, so the left side is salted.
+    either side, finds them all.  Lengths are few, so the keys of one size are dealt to a
+    grid of cells, twice as many as there are cores: each side goes to one row, or one
+    column, of the grid.
     """
-    tasks = max(_SALTS, 2 * left.sparkSession.sparkContext.defaultParallelism)
-    near = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(_SALTS)).cast("int")).withColumn("size", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)))
-    far = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return near.repartition(tasks, "size", "salt").join(far.repartition(tasks, "size", "salt"), ["size", "salt"]).drop("size", "salt")
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    grid = math.ceil(math.sqrt(2 * cores))
+
+    def dealt(df: DataFrame, own: str, every: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*df.columns), F.lit(grid)).cast("int")
+        return df.withColumn(own, mine).withColumn(every, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+
+    near = dealt(left, "row", "column").withColumn("size", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)))
+    keys = ["size", "row", "column"]
+    # a number of its own, so that few bytes of keys aren't put together into one task
+    return near.repartition(2 * cores, *keys).join(dealt(right, "column", "row").repartition(2 * cores, *keys), keys).drop(*keys)
 
 
 def _size(*lengths: Column) -> Column:
