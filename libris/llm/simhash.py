@@ -154,8 +154,8 @@ def _link(names: list[str], radius: int) -> Callable[[Iterator[pa.RecordBatch]],
             if not len(at):
                 break
             at = at[(side[at] == 0) | (side[at] != side[at + d])]
-            for s in range(0, len(at), 1 << 17):
-                i = at[s : s + (1 << 17)]
+            for s in range(0, len(at), 1 << 15):
+                i = at[s : s + (1 << 15)]
                 i = i[near_pairs(f[i], f[i + d], radius)]
                 pairs.append(np.stack([ids[i], ids[i + d]], axis=1))
         if pairs:
@@ -255,7 +255,7 @@ def similar_bits(bits: int, similarity: float) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, tables: int = 48, width: int = 20, slack: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, tables: int = 48, width: int = 20, slack: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest id.
 
     Fingerprints have 64 * words bits, of which documents at the wanted Jaccard
