@@ -30,7 +30,7 @@ class WordCache:
     for white space is encoded as a whole.
     """
 
-    def __init__(self, path: str, most_kept: int = 1_000_000):
+    def __init__(self, path: str, most_kept: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
