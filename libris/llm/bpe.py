@@ -70,7 +70,7 @@ class ByteBPE:
     id is its rank; there are no special tokens.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 150_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must have a rank")
         self.ranks = ranks
