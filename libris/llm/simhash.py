@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
-from itertools import combinations, repeat
+from itertools import combinations, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,8 @@ _CHUNK = 1 << 16
 BLOCK = 16384
 #: Groups up to this size are compared by shifting the sorted rows against themselves.
 _SMALL = 24
+#: Sets of up to this many shingles are too small for sampled keys to be sure.
+_SHORT = 40
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -91,6 +94,16 @@ def fingerprints(texts: Sequence[bytes | None], shingle: int, words: int = 1, se
     return np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
+def prints_of(sets: Sequence[np.ndarray], words: int) -> np.ndarray:
+    """:func:`fingerprints` of given sets of hashes."""
+    out = np.zeros((len(sets), words), np.uint64)
+    for i, h in enumerate(sets):
+        if len(h):
+            ones = sum(np.unpackbits(_mixed(h[a : a + _CHUNK], words).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").sum(0, dtype=np.int64) for a in range(0, len(h), _CHUNK))
+            out[i] = np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+    return out
+
+
 def exact_tables(bits: int, radius: int, keep: int = 2) -> list[np.ndarray]:
     """Bit positions of keys such that any two fingerprints within ``radius`` agree on one key at least.
 
@@ -205,27 +218,34 @@ def _link(names: list[str], radius: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def near_classes(prints: DataFrame, radius: int, tables: list[np.ndarray], block: int = BLOCK) -> DataFrame:
+def _grid_cells(own: Column) -> Column:
+    """The cells of a row of block ``own``: one for each of the ``grid`` blocks, with the row's side in it."""
+    return F.transform(
+        F.sequence(F.lit(0), F.col("grid") - 1),
+        lambda j: F.struct((F.least(own, j).cast("long") * F.col("grid") + F.greatest(own, j)).alias("cell"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")),
+    )
+
+
+def near_classes(prints: DataFrame, radius: int, tables: list[np.ndarray], block: int = BLOCK, sample: int = 1) -> DataFrame:
     """(f0, ..., root) for every fingerprint in ``prints`` (id, f0, ...).
 
     Fingerprints are linked when they share a key of ``tables`` and differ in at
     most ``radius`` bits; root is the smallest id of all that links reach.  Equal
     fingerprints are one row from here on.  A bucket of over ``block`` rows is cut
     into blocks, each pair of which is compared by a task of its own; of the links
-    found at one place only those of a spanning forest are passed on.
+    found at one place only those of a spanning forest are passed on.  With ``sample``
+    the sizes of buckets are estimated from one row in so many; they decide the blocks only.
     """
     names = [c for c in prints.columns if c != "id"]
     reps = checkpointed(prints.where("id is not null").groupBy(*names).agg(F.min("id").alias("id")))
     keyed = reps.mapInArrow(_expand(names, tables), "bucket long, id long, " + ", ".join(f"{x} long" for x in names))
-    sizes = reps.select("id", *names).mapInArrow(_expand(names, tables), keyed.schema).groupBy("bucket").count().where(F.col("count") > block)
+    counted = reps.select("id", *names) if sample == 1 else reps.select("id", *names).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(sample)) == 0)
+    sizes = counted.mapInArrow(_expand(names, tables), keyed.schema).groupBy("bucket").count().withColumn("count", F.col("count") * sample).where(F.col("count") > block)
     hot = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("grid"))
+    if sample > 1:
+        hot = F.broadcast(hot)
     own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
-    cells = F.when(F.col("grid").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("grid") - 1),
-            lambda j: F.struct((F.least(own, j).cast("long") * F.col("grid") + F.greatest(own, j)).alias("cell"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")),
-        )
-    )
+    cells = F.when(F.col("grid").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side")))).otherwise(_grid_cells(own))
     dealt = keyed.join(hot, "bucket", "left").withColumn("at", F.explode(cells)).select("bucket", F.col("at.cell").alias("cell"), F.col("at.side").alias("side"), "id", *names)
     edges = dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_link(names, radius), "a long, b long")
     roots = components(edges)
@@ -255,17 +275,129 @@ def similar_bits(bits: int, similarity: float) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, tables: int = 48, width: int = 20, slack: int = 3) -> DataFrame:
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The different hashes of :func:`shingle_hashes`, ascending."""
+    found = [np.unique(h) for h in shingle_hashes(text, shingle)] if text else []
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The smallest of a set's hashes, so many that two sets of that similarity share one of theirs."""
+    n = len(hashes)
+    return hashes[: n - math.ceil(n * similarity - 1e-9) + 1] if n else hashes
+
+
+def _with_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, similarity: float) -> DataFrame:
+    """(id, f0, ..., digest, size, prefix) of each row's shingle set; the prefix only of sets of up to ``_SHORT``."""
+    names = [f"f{w}" for w in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            sets = [shingle_set(x, shingle) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            f = prints_of(sets, words).view(np.int64)
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            first = pa.array([prefix(x, similarity).view(np.int64).tolist() if len(x) <= _SHORT else [] for x in sets], pa.list_(pa.int64()))
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(f[:, w])) for w in range(words)), digests, sizes, first], names=["id", *names, "digest", "size", "prefix"])
+
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return given.mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in names) + ", digest binary, size long, prefix array<long>")
+
+
+def _sets_again(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The text of each row replaced by its shingle set; rows whose set isn't the wanted one (another text of that id) go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            sets = [shingle_set(x, shingle).tobytes() for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            fits = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), batch.column("grid"), pa.array(sets, pa.binary())], names=["id", "root", "grid", "hashes"]).filter(fits)
+
+    return run
+
+
+def similar_links(ids: list[int], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose exact Jaccard similarity is that or more.
+
+    Sets of side 1 are compared with those of side 2 only, sets of side 0 with all.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    side = np.array(sides)
+    inverse = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    counts = np.bincount(inverse)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(inverse, kind="stable")]
+    first = np.cumsum(counts) - counts
+    ends = np.cumsum(sizes)
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for q in np.flatnonzero(side != 2).tolist():
+        at = inverse[ends[q] - sizes[q] : ends[q]]
+        m = counts[at]
+        shared = np.bincount(holders[np.repeat(first[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=n)
+        near = shared / np.maximum(sizes + sizes[q] - shared, 1) >= similarity
+        for r in np.flatnonzero(near & ((side == 0) | (side != side[q]))).tolist():
+            if (x := root(q)) != (y := root(r)):
+                up[max(x, y)] = min(x, y)
+                if ids[q] != ids[r]:
+                    out.append((ids[q], ids[r]))
+    return out
+
+
+def _confirm(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links within each (root, cell) of rows sorted by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r, c, s, i, h) for b in batches for r, c, s, i, h in zip(*(b.column(x).to_pylist() for x in ("root", "cell", "side", "id", "hashes")), strict=True))
+        for _, group in groupby(rows, key=lambda x: x[:2]):
+            _, _, sides, ids, sets = zip(*group, strict=True)
+            found = np.array(similar_links(ids, sides, [np.frombuffer(x, np.uint64) for x in sets], similarity), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, tables: int = 96, width: int = 16, slack: int = 25, block: int = 1 << 18) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest id.
 
-    Fingerprints have 64 * words bits, of which documents at the wanted Jaccard
-    similarity differ in :func:`similar_bits` on average; ``slack`` is added to that
-    radius.  Candidates share one of ``tables`` sampled keys of ``width`` bits.  Null
+    Linked are texts whose shingle sets have an exact Jaccard similarity of
+    ``similarity`` or more.  Fingerprints of 64 * words bits only propose: candidates
+    share one of ``tables`` sampled keys of ``width`` bits and differ in at most
+    ``slack`` bits more than documents at that similarity do on average
+    (:func:`similar_bits`); sets of up to ``_SHORT`` shingles are also candidates
+    if they share a hash of their :func:`prefix`, which misses no pair of them.  Within each group
+    that candidates connect every pair is compared by its sets; a group of over
+    ``block`` shingles is cut into blocks, each pair of which is a task's own.  Null
     texts and texts without a word are equal, so one of them stays.  Rows whose id is
     null are kept and hide none; of several rows of a surviving id all stay.
     """
     judged = docs.where(F.col(f"`{id_col}`").isNotNull())
     bits = 64 * words
-    found = near_duplicates(judged, id_col, text_col, shingle, words, similar_bits(bits, similarity) + slack, sampled_tables(bits, tables, width))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(f"{OWN}id")).distinct()
+    names = [f"f{w}" for w in range(words)]
+    prints = checkpointed(_with_sets(judged, id_col, text_col, shingle, words, similarity))
+    reps = checkpointed(prints.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in (*names, "size", "prefix")]))
+    classes = near_classes(reps.select("id", *names), similar_bits(bits, similarity) + slack, sampled_tables(bits, tables, width), sample=16)
+    placed = checkpointed(reps.join(classes, names).select("id", "digest", "size", "prefix", "root"))
+    heads = placed.select("root", F.explode("prefix").alias("head")).distinct()
+    least = heads.groupBy("head").agg(F.min("root").alias("b"), F.max("root").alias("most")).where("b < most").select(F.col("head").alias("same"), "b")
+    merged = components(heads.join(least, heads["head"] == least["same"]).select(F.col("root").alias("a"), "b")).withColumnRenamed("root", "top")
+    grouped = placed.join(merged, placed["root"] == merged["node"], "left").select("id", "digest", "size", F.coalesce("top", "root").alias("root"))
+    grids = grouped.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("n"), F.ceil(F.sum("size") / block).cast("int").alias("grid")).where("n > 1 and grid > 0")
+    members = grouped.join(grids, grouped["root"] == grids["of"]).select(F.col("id").alias("member"), "digest", "root", "grid")
+    texts = judged.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sets = texts.join(members, texts["id"] == members["member"]).select("id", "text", "digest", "root", "grid").mapInArrow(_sets_again(shingle), "id long, root long, grid int, hashes binary")
+    own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
+    dealt = sets.withColumn("at", F.explode(_grid_cells(own))).select("root", F.col("at.cell").alias("cell"), F.col("at.side").alias("side"), "id", "hashes")
+    links = dealt.repartition("root", "cell").sortWithinPartitions("root", "cell").mapInArrow(_confirm(similarity), "a long, b long")
+    roots = components(links)
+    same = reps.select(F.col("digest").alias("of"), F.col("id").alias("rep"))
+    found = prints.join(same, prints["digest"] == same["of"]).join(roots, F.col("rep") == roots["node"], "left")
+    gone = found.where(F.col("id") != F.coalesce("root", "rep")).select(F.col("id").alias(f"{OWN}id")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(f"{OWN}id"), "left_anti")

@@ -123,6 +123,32 @@ def test_near_duplicates_of_similarity(spark):
     assert left == {*range(40), 200, None}
 
 
+def test_near_duplicates_are_confirmed_by_jaccard(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+
+    def edited(n, k):  # n shingles, 5 k of which change
+        w = [word() for _ in range(n + 4)]
+        step = n // k
+        return w, [word() if i % step == 4 and i // step < k else x for i, x in enumerate(w)]
+
+    def longer(n, more):
+        w = [word() for _ in range(n + 4)]
+        return w, [*w, *(word() for _ in range(more))]
+
+    kinds = {"0.75": lambda: edited(280, 8), "0.8": lambda: edited(270, 6), "0.85": lambda: edited(270, 4), "4 of 5": lambda: longer(4, 1), "12 of 15": lambda: longer(12, 3), "11 of 15": lambda: longer(11, 4)}
+    rows, second = [], {}
+    for kind, make in kinds.items():
+        for _ in range(100):
+            a, b = (" ".join(x) for x in make())
+            second[len(rows) + 1] = kind
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    left = {x.doc_id for x in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=1 << 10).collect()}
+    assert {i for i, _ in rows if i not in second} <= left
+    gone = {kind: sum(k == kind and i not in left for i, k in second.items()) for kind in kinds}
+    assert gone["0.75"] == gone["11 of 15"] == 0 and gone["0.8"] >= 99 and gone["0.85"] == 100 and gone["4 of 5"] >= 99 and gone["12 of 15"] >= 99, gone
+
+
 @pytest.mark.parametrize("block", [7, 20_000])
 def test_nearest(spark, block):
     rng = np.random.default_rng(0)
