@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame
 
@@ -11,41 +11,52 @@ from libris.llm.spans import Segmenter, remove_repeats
 
 #: A sentence ends at white space after . ! or ?, or at a line feed.
 _BETWEEN = re.compile(r"((?<=[.!?])\s+|\n\s*)")
+_WORD = re.compile(r"\S+")
+
+
+def _parts(sentence: str, most: int) -> list[str]:
+    """A sentence cut, from its end on, into parts of ``most`` words; the first part has the rest."""
+    starts = [m.start() for m in _WORD.finditer(sentence)]
+    cuts = [0, *starts[len(starts) % most or most :: most], len(sentence)]
+    return [sentence[a:b] for a, b in pairwise(cuts)]
 
 
 def sentence_runs(sentences: int = 3, words: int = 20, long_sentence: int = 16) -> Segmenter:
     """Pieces: sentences with the white space after them.  Spans: sliding runs of sentences.
 
-    A run has at least ``sentences`` sentences and ``words`` words, where a
-    sentence counts once for every ``long_sentence`` words begun, so that few long
-    sentences make a run as well.  Taken are the shortest run from each sentence
-    on and the shortest run up to each, so both edges of a repeated passage are
+    A sentence of over ``long_sentence`` words is several pieces, cut from its end
+    on.  So a passage that starts within a sentence, fused with the words before
+    it, loses less than ``long_sentence`` words to that sentence's other parts.  A run has at least
+    ``sentences`` pieces and ``words`` words.  Taken are the shortest run from each
+    piece on and the shortest run up to each, so both edges of a repeated passage are
     covered.  Words are compared, white space isn't.
     """
 
     def segment(text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
         parts = _BETWEEN.split(text)
-        pieces = [x + y for x, y in zip(parts[::2], [*parts[1::2], ""], strict=True)]
-        tokens = [x.split() for x in parts[::2]]
+        pieces = []
+        for sentence, space in zip(parts[::2], [*parts[1::2], ""], strict=True):
+            pieces += _parts(sentence, long_sentence)
+            pieces[-1] += space
+        tokens = [x.split() for x in pieces]
         full = [i for i, x in enumerate(tokens) if x]
         size = [len(tokens[i]) for i in full]
         normal = [" ".join(tokens[i]) for i in full]
         n = len(full)
-        unit_at = list(accumulate((-(-x // long_sentence) for x in size), initial=0))
         word_at = list(accumulate(size, initial=0))
         runs: dict[tuple[int, int], None] = {}
         b = 0
         for a in range(n):
-            while b < n and (unit_at[b] - unit_at[a] < sentences or word_at[b] - word_at[a] < words):
+            while b < n and (b - a < sentences or word_at[b] - word_at[a] < words):
                 b += 1
-            if unit_at[b] - unit_at[a] < sentences or word_at[b] - word_at[a] < words:
+            if b - a < sentences or word_at[b] - word_at[a] < words:
                 break
             runs[a, b - 1] = None
         a = 0
         for b in range(1, n + 1):
-            while unit_at[b] - unit_at[a + 1] >= sentences and word_at[b] - word_at[a + 1] >= words:
+            while b - a - 1 >= sentences and word_at[b] - word_at[a + 1] >= words:
                 a += 1
-            if unit_at[b] - unit_at[a] >= sentences and word_at[b] - word_at[a] >= words:
+            if b - a >= sentences and word_at[b] - word_at[a] >= words:
                 runs[a, b - 1] = None
         return pieces, [(full[x], full[y], " ".join(normal[x : y + 1])) for x, y in runs]
 
@@ -58,8 +69,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of equal runs (see :func:`sentence_runs`) the first in order of (id, place)
     stays; the sentences of every later one go, with the white space after them.
     A passage that two texts share is found whatever stands around it, once it
-    holds a run.  Texts too short for a run stay.  Adds ``n_sentences`` (of the
-    text as it was) and ``n_removed``; for nulls, repeated ids and clashing names
+    holds a run; one of 51 words that ends with a sentence always does, wherever it
+    starts.  Texts too short for a run stay.  Adds ``n_sentences`` (of the
+    text as it was, a long sentence counted by its parts) and ``n_removed``; for nulls, repeated ids and clashing names
     see :func:`libris.llm.spans.remove_repeats`.
     """
     return remove_repeats(docs, sentence_runs(sentences, words, long_sentence), id_col, text_col, "n_sentences", "n_removed")

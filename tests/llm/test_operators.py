@@ -88,6 +88,29 @@ def test_a_passage_is_found_whatever_stands_around(spark):
     assert all(got[i] == f"Own start {i} is here. Own end {i} stays there." for i in (1, 3))
 
 
+def test_a_passage_spliced_into_a_sentence_is_found(spark):
+    r = random.Random(11)
+    shapes = [[51], [40, 15], [31, 6, 16], [15, 36], [15, 18, 18], [50, 1], [20, 20, 20]]
+    for n in range(51, 61):
+        for _ in range(4):
+            cuts = sorted(r.sample(range(1, n), r.randrange(4)))
+            shapes.append([b - a for a, b in zip([0, *cuts], [*cuts, n], strict=True)])
+    rows, want = [], {}
+    for k, shape in enumerate(shapes):
+        words = [[f"p{k}s{i}w{j}" for j in range(n)] for i, n in enumerate(shape)]
+        passage = " ".join(" ".join(x) + "." for x in words)
+        for copy in range(2):
+            own = [f"o{k}c{copy}w{j}" for j in range(r.randrange(1, 40))]
+            rest = " ".join(f"e{k}c{copy}w{j}" for j in range(9)) + "."
+            want[len(rows)] = (copy, " ".join(own), rest, sum(shape))
+            rows.append((len(rows), f"{' '.join(own)} {passage} {rest}"))
+    got = {x.doc_id: x.text for x in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (copy, own, rest, n) in want.items():
+        left = got[i].split()
+        assert got[i].startswith(own) and got[i].endswith(rest)
+        assert got[i] == rows[i][1] if not copy else len(left) - len(own.split()) - 9 <= 15, (shapes[i // 2], got[i])
+
+
 def links(rows, radius):
     f = [(i, simhash.fingerprints([(t or "").encode()], 4)[0, 0]) for i, t in rows]
     ids = np.array([i for i, _ in f if i is not None])
