@@ -8,6 +8,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from libris.publish import publish
 from libris.schema import TABLES
 
 
@@ -47,11 +48,6 @@ class Store:
             place = f"{name}/{number + 1}-{uuid.uuid4().hex}"
             rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.parquet(f"{self.folder}/{place}")
             at[name] = place
-        aside = f"{self.folder}/aside-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(at),)], "value string").coalesce(1).write.text(aside)
-        to = self._path(f"{self.folder}/pointers/{number + 1}")
-        self._fs.mkdirs(to.getParent())
-        if self._fs.exists(to) or not self._fs.rename(self._path(aside), to):
-            self._fs.delete(self._path(aside), True)
+        if not publish(self.spark, f"{self.folder}/pointers/{number + 1}", json.dumps(at)):
             raise RuntimeError("another writer committed meanwhile")
         return number + 1
