@@ -105,7 +105,9 @@ def run(args: argparse.Namespace, lib: Library) -> tuple[int, str]:
     if c == "grab":
         form = report.check_format(args.output)
         rows = _rows(lib.grab(args.min_priority))
-        return 0, report.grab(rows, form) or "Nothing to grab.\n"
+        if rows or form != "text":
+            return 0, report.grab(rows, form)
+        return 0, "Want list is empty.\n" if lib.wants.isEmpty() else "All wanted books are already owned.\n"
     if c == "stats":
         return 0, report.details(_rows(lib.stats())[0])
     if c == "follow":

@@ -10,6 +10,15 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: The characters of Unicode's White_Space property.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def trim(x: str | Column) -> Column:
+    """Without white space at both ends, as Unicode has it."""
+    return F.regexp_replace(_c(x), f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def blank_to_null(x: str | Column) -> Column:
     """Null for an empty string."""
     return F.nullif(_c(x), F.lit(""))
@@ -22,7 +31,7 @@ def normalize_isbn(x: str | Column) -> Column:
 
 def unwrap_isbn(x: str | Column) -> Column:
     """The normal form of a cell that may be wrapped as ``="..."``; nothing left: null."""
-    return blank_to_null(normalize_isbn(F.regexp_replace(F.trim(_c(x)), '^="(.*)"$', "$1")))
+    return blank_to_null(normalize_isbn(F.regexp_replace(trim(x), '^="(.*)"$', "$1")))
 
 
 def isbn10_to_13(x: str | Column) -> Column:
@@ -43,7 +52,7 @@ def looks_like_isbn(x: str | Column) -> Column:
 
 def strip_number_prefix(x: str | Column) -> Column:
     """Without a leading ``12. `` or ``12) `` and the white space after it."""
-    return F.regexp_replace(_c(x), r"^[0-9]+[.)] \s*", "")
+    return F.regexp_replace(_c(x), f"^[0-9]+[.)] [{WHITE}]*", "")
 
 
 def parse_line(x: str | Column) -> Column:
@@ -51,17 +60,17 @@ def parse_line(x: str | Column) -> Column:
 
     A split with nothing on one side doesn't count.
     """
-    s = strip_number_prefix(F.trim(_c(x)))
+    s = strip_number_prefix(trim(x))
     out = F.struct(s.alias("title"), F.lit(None).cast("string").alias("author"))
     for pattern in ("^(.*) - (.*)$", "(?i)^(.*) by (.*)$"):
-        title, author = (F.trim(F.regexp_extract(s, pattern, i)) for i in (1, 2))
+        title, author = (trim(F.regexp_extract(s, pattern, i)) for i in (1, 2))
         out = F.when((title != "") & (author != ""), F.struct(title.alias("title"), author.alias("author"))).otherwise(out)
     return out
 
 
 def is_list_entry(x: str | Column) -> Column:
     """Whether a list's line is neither blank nor a comment."""
-    s = F.trim(_c(x))
+    s = trim(x)
     return (s != "") & ~F.startswith(s, F.lit("#"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from libris.checkpoints import checkpointed
 from libris.operators.maintenance import max_id
-from libris.sources.http import CATALOGUE, ServiceError, Transport, author_key, author_works
+from libris.sources.http import CATALOGUE, Transport, author_key, author_works, numbered, works_of
 
 
 def find_author(authors: DataFrame, name: str) -> DataFrame:
@@ -29,20 +30,14 @@ def add_author(authors: DataFrame, name: str, transport: Transport, now: str, ba
     return authors.unionByName(row), [{**w, "author": name} for w in works], "added"
 
 
-def sync_authors(authors: DataFrame, transport: Transport, now: str, base: str = CATALOGUE) -> tuple[DataFrame, list[dict], list[str]]:
-    """(authors, works to queue, names that failed); one failure doesn't stop the others."""
-    works, done, failed = [], [], []
-    for a in authors.orderBy("id").collect():  # each is a service call of the driver's
-        try:
-            key = a["ol_key"] or author_key(transport, a["name"], base)
-            if key is None:
-                raise ServiceError(f"author not found: {a['name']}")
-            works += [{**w, "author": a["name"]} for w in author_works(transport, key, base)]
-            done.append(a["id"])
-        except (ServiceError, ValueError, KeyError, OSError):
-            failed.append(a["name"])
-    synced = authors.withColumn("last_synced", F.when(F.col("id").isin(done), F.lit(now)).otherwise(F.col("last_synced"))) if done else authors
-    return synced, works, failed
+def sync_authors(authors: DataFrame, transport: Transport, now: str, base: str = CATALOGUE) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(authors, entries to queue, names that failed); services are asked by tasks, and one failure doesn't stop the others."""
+    found = checkpointed(works_of(authors, transport, base))
+    well = found.where(F.col("error").isNull())
+    books = well.select("id", F.col("name").alias("author"), F.posexplode("works").alias("place", "work")).orderBy("id", "place")
+    queued = numbered(books.select("work.title", "author", F.lit(None).cast("string").alias("isbn13"), "work.source_id"))
+    synced = authors.join(well.select("id", F.lit(now).alias("__at")), "id", "left").withColumn("last_synced", F.coalesce("__at", "last_synced")).select(*authors.columns)
+    return synced, queued, [r["name"] for r in found.where(F.col("error").isNotNull()).orderBy("id").select("name").collect()]
 
 
 def remove_author(authors: DataFrame, name: str) -> tuple[DataFrame, bool]:

@@ -77,7 +77,9 @@ def import_wants(wants: DataFrame, editions: DataFrame, entries: DataFrame, sour
     )
     to_hubs = rows.select(F.col("node").alias("a"), F.explode(hubs).alias("b"))
     named = rows.where(F.col("author").isNotNull()).select("title", "author")
-    likes = similar_pairs(named, named).select(F.xxhash64(F.lit("book"), "left_title", "left_author").alias("a"), F.xxhash64(F.lit("book"), "right_title", "right_author").alias("b"))
+    # an old want matters only to what comes in
+    incoming = rows.where(F.col("line").isNotNull() & F.col("author").isNotNull()).select("title", "author")
+    likes = similar_pairs(incoming, named).select(F.xxhash64(F.lit("book"), "left_title", "left_author").alias("a"), F.xxhash64(F.lit("book"), "right_title", "right_author").alias("b"))
     roots = components(to_hubs.unionByName(likes))
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     untouched = grouped.join(grouped.where(F.col("line").isNotNull()).select("root").distinct(), "root", "left_anti")

@@ -12,10 +12,10 @@ def with_ids(rows: DataFrame, start: int, *order: str, id_col: str = "id", bucke
     """``rows`` numbered from ``start`` + 1 on, with the same numbers however often it is computed.
 
     Numbers come in two steps, rows per bucket and places within one, so that no task
-    orders all rows.  Buckets are hashes of the order's columns by default; a bucket that
+    orders all rows, and only the sizes of the buckets, 4096 by default, are summed up in one.  Buckets are hashes of the order's columns by default; a bucket that
     rises with the order makes the numbers rise with it too.
     """
-    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(64)) if bucket is None else bucket)
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(4096)) if bucket is None else bucket)
     sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))

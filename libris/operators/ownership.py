@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from libris.functions.similarity import similar_pairs
+from libris.functions.similarity import with_similar
 from libris.functions.text import normalize_isbn
 
 
@@ -25,8 +25,8 @@ def owned_by_likeness(wants: DataFrame, editions: DataFrame) -> DataFrame:
     Distinct (title, author) pairs are scored, not rows.
     """
     asked = wants.where(F.col("author").isNotNull())
-    pairs = similar_pairs(asked.select("title", "author"), owned(editions).select("title", F.col("authors").alias("author")))
-    hits = pairs.select(F.col("left_title").alias("__t"), F.col("left_author").alias("__a")).distinct()
+    hits = with_similar(asked.select("title", "author"), owned(editions).select("title", F.col("authors").alias("author")))
+    hits = hits.select(F.col("title").alias("__t"), F.col("author").alias("__a"))
     return asked.join(hits, (F.coalesce("title", F.lit("")) == F.col("__t")) & (F.col("author") == F.col("__a")), "left_semi").select("id")
 
 

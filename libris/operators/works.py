@@ -33,7 +33,8 @@ def link_works(editions: DataFrame, works: DataFrame, now: str, least: float = S
     # by likeness
     bare = editions.where(F.col("isbn").isNull() & F.col("title").isNotNull() & F.col("authors").isNotNull())
     keyed = bare.select("id", "source_path", "work_id", "title", F.col("authors").alias("author"))
-    likes = similar_pairs(keyed, keyed, least).select("left_title", "left_author", "right_title", "right_author")
+    # only what isn't linked yet looks for a partner
+    likes = similar_pairs(keyed.where(F.col("work_id").isNull()), keyed, least).select("left_title", "left_author", "right_title", "right_author")
     numbered = keyed.withColumn("__key", F.xxhash64("title", "author"))
     pairs = likes.select(F.xxhash64("left_title", "left_author").alias("a"), F.xxhash64("right_title", "right_author").alias("b"))
     roots = components(pairs.where("a <> b")).select(F.col("node").alias("__key"), F.col("root").alias("__root"))

@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from libris.checkpoints import checkpointed
 from libris.operators import enrich, follow, imports, maintenance, ownership, series, stats, works
 from libris.operators import search as searching
 from libris.schema import DEFAULT_PRIORITY, SERIES_FILL_PRIORITY, check_priority, check_source
@@ -19,6 +20,14 @@ def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def take_in(store: Store, parsed: DataFrame, at: str) -> tuple[int, int]:
+    """(editions inserted, number of the commit) after parsed packages came in and were linked to works, all at once."""
+    before = store.table("editions")
+    after = checkpointed(maintenance.insert_or_ignore(before, epub.as_editions(parsed), "source_path", "source_path"))
+    linked, made = works.link_works(after, store.table("works"), at)
+    return after.count() - before.count(), store.commit({"editions": linked, "works": made})
+
+
 class Library:
     """Each command reads the current snapshots, and commits new ones all at once if it changes something."""
 
@@ -49,19 +58,11 @@ class Library:
 
     def scan(self, folder: str) -> dict:
         """Takes in the packages of a folder; those whose path is known are left alone."""
-        packages, errors, others = epub.scan(self.spark, folder)
-        incoming = packages.withColumn("isbn", F.expr("nullif(translate(regexp_replace(isbn, '[^0-9Xx]', ''), 'x', 'X'), '')")).withColumns(
-            {"work_id": F.lit(None).cast("long"), "owned": F.lit(1).cast("long"), "enriched_at": F.lit(None).cast("string"), "enrichment_attempted": F.lit(0).cast("long")}
-        )
-        before = self.editions
-        # read once: the files may change meanwhile
-        number = self.store.commit({"editions": maintenance.insert_or_ignore(before, incoming, "source_path", "source_path")})
-        after = self.editions
-        inserted = after.count() - before.count()
-        linked, made = works.link_works(after, self.works, self.clock())
-        self.store.commit({"editions": linked, "works": made})
-        failed = [r.asDict() for r in errors.orderBy("source_path").collect()]
-        return {"scanned": packages.count() + len(failed), "inserted": inserted, "skipped_non_epub": others, "errors": failed, "commit": number}
+        parsed, others = epub.scan(self.spark, folder)
+        parsed = checkpointed(parsed)  # read once: the files may change meanwhile
+        inserted, number = take_in(self.store, parsed, self.clock())
+        failed = [r.asDict() for r in parsed.where(F.col("error").isNotNull()).select("source_path", "error").orderBy("source_path").collect()]
+        return {"scanned": parsed.count(), "inserted": inserted, "skipped_non_epub": others, "errors": failed, "commit": number}
 
     def list(self) -> DataFrame:
         return self.editions.orderBy("id")
@@ -138,10 +139,10 @@ class Library:
         authors, found, status = follow.add_author(self.authors, name, self._service(), self.clock(), self.catalogue)
         if status != "added":
             return status, imports.summary(self.spark.createDataFrame([], "line long, status string"))
-        return status, self._queue(found, {"followed_authors": authors})
+        return status, self._queue(http.entries(self.spark, found), {"followed_authors": authors})
 
-    def _queue(self, found: list[dict], more: dict[str, DataFrame]) -> dict[str, int]:
-        after, outcome = imports.import_wants(self.wants, self.editions, http.entries(self.spark, found), "author_follow", self.clock())
+    def _queue(self, found: DataFrame, more: dict[str, DataFrame]) -> dict[str, int]:
+        after, outcome = imports.import_wants(self.wants, self.editions, found, "author_follow", self.clock())
         out = imports.summary(outcome)
         self.store.commit({"want_list": after, **more})
         return out
@@ -168,14 +169,11 @@ class Library:
 
     def fill_series(self) -> dict[str, int]:
         """Queues the books that the catalogue ascribes to any owned series, not only to its gaps."""
-        names = [r[0] for r in self.editions.where((F.col("owned") == 1) & F.col("series_name").isNotNull()).select("series_name").distinct().orderBy("series_name").collect()]
-        found, failed = [], []
-        for name in names:  # each is a service call of the driver's
-            try:
-                found += http.series_books(self._service(), name, self.catalogue)
-            except (ServiceError, ValueError, KeyError, OSError):
-                failed.append(name)
-        out = self._import(http.entries(self.spark, found), "series_fill", priority=SERIES_FILL_PRIORITY)
+        names = self.editions.where((F.col("owned") == 1) & F.col("series_name").isNotNull()).select("series_name").distinct()
+        asked = checkpointed(http.fetch(names.withColumn("url", http.series_url(F.col("series_name"), self.catalogue)), self._service()))
+        found = asked.where(http.ok()).select("series_name", F.posexplode(http.series_books(F.col("body"), F.col("series_name"))).alias("place", "book"))
+        out = self._import(http.numbered(found.orderBy("series_name", "place").select("book.*")), "series_fill", priority=SERIES_FILL_PRIORITY)
+        failed = [r["series_name"] for r in asked.where(~http.ok()).select("series_name").orderBy("series_name").collect()]
         if failed:
             raise ServiceError(f"series fill failed for: {', '.join(failed)}")
         return out

@@ -2,93 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from libris import report
 from libris.functions import text
-from libris.functions.similarity import book_similarity, near_strings, search_score, similar_pairs
+from libris.functions.similarity import book_similarity, near_strings, similar_pairs
 from libris.operators import maintenance, ownership, series, works
+from libris.plans.registry import ORACLE, QUERIES, query, table
 from libris.sources.http import first
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    """Registers a query under its function's name with its SQL."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""
-SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS filled, count(*) FILTER (WHERE o_orderstatus = 'O') AS open,
-       count(*) FILTER (WHERE o_totalprice > 150000) AS large, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent,
-       count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 150000) AS filled_large FROM orders
-""")
-def stats_conditional_counts(spark, sf_dir):
-    filled, large = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 150000
-    counts = {"filled": filled, "open": F.col("o_orderstatus") == "O", "large": large, "urgent": F.col("o_orderpriority") == "1-URGENT", "filled_large": filled & large}
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in counts.items()])
-
-
-#: The priorities that are reported, one of which no order has.
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE")
-
-
-@query("""
-SELECT p.priority, count(o.o_orderkey) AS n
-FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('6-NONE')) p(priority)
-LEFT JOIN orders o ON o.o_orderpriority = p.priority GROUP BY p.priority
-""")
-def stats_by_source(spark, sf_dir):
-    one = table(spark, sf_dir, "orders").agg(*[F.count_if(F.col("o_orderpriority") == p).alias(p) for p in PRIORITIES])
-    return one.unpivot([], [F.col(f"`{p}`") for p in PRIORITIES], "priority", "n")
-
-
-@query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
-def semi_join_exists(spark, sf_dir):
-    held = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(held, "c_custkey", "left_semi")
-
-
-@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def anti_join_not_exists(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query("""
-SELECT p_partkey, k FROM (SELECT p_partkey, nullif(p_size, 7)::BIGINT AS k FROM part) p
-WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = p.k AND s.s_acctbal > 0)
-""")
-def anti_join_null_key(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(7)).cast("long").alias("k"))
-    return parts.join(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k")), "k", "left_anti")
-
-
-@query("""
-SELECT p_partkey, p_name FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND EXISTS (
-  SELECT 1 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_suppkey = l.l_suppkey AND n.n_regionkey = 2))
-""")
-def two_hop_semi(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("s_nationkey"))
-    suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("l_suppkey"))
-    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(suppliers, "l_suppkey", "left_semi")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").join(items.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
-
-
 @query("""
 SELECT l_orderkey, unnest(generate_series(lo, hi)) AS missing FROM (
   SELECT l_orderkey, (l_linenumber + 1)::BIGINT AS lo, (lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::BIGINT AS hi FROM lineitem) WHERE lo <= hi
@@ -154,19 +77,6 @@ def fuzzy_self_join(spark, sf_dir):
     return near_strings(names, names).where("left < right").select(F.col("left").alias("a_name"), F.col("right").alias("b_name"), F.round("score", 6).alias("score"))
 
 
-@query("""
-WITH s AS (SELECT p_partkey, greatest(jaro_winkler_similarity(p_name, 'seel bolt'), jaro_winkler_similarity(p_brand, 'seel bolt'), jaro_winkler_similarity(p_name || ' ' || p_brand, 'seel bolt'),
-  list_max(list_transform(string_split(p_name, ' '), lambda w: jaro_winkler_similarity(w, 'seel bolt')))) AS x FROM part)
-SELECT p_partkey, round(x, 6) AS score, (row_number() OVER (ORDER BY round(x, 6) DESC, p_partkey))::INT AS rank FROM s WHERE x >= 0.72
-""")
-def fuzzy_search_ranked(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    scored = parts.select("p_name", "p_brand").distinct().withColumn("x", search_score("p_name", "p_brand", "seel bolt")).where("x >= 0.72")
-    # a ranked report has one order over all its rows
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "p_partkey"))
-    return parts.join(scored, ["p_name", "p_brand"]).withColumn("score", F.round("x", 6)).select("p_partkey", "score", rank.alias("rank"))
-
-
 @query("""
 WITH n AS (SELECT DISTINCT p_name AS t, p_brand AS a FROM part), s AS (
   SELECT x.t AS a_title, x.a AS a_author, y.t AS b_title, y.a AS b_author, greatest(jaro_winkler_similarity(x.t || ' ' || x.a, y.t || ' ' || y.a),
@@ -212,12 +122,6 @@ def number_prefix_strip(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.strip_number_prefix(F.concat(F.col("p_size").cast("string"), F.lit(") "), F.col("p_name"))).alias("rest"))
 
 
-@query("SELECT p_partkey, n_name FROM part, nation WHERE lower(p_brand) = lower('BRAND#' || n_nationkey::VARCHAR)")
-def ci_title_match(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select("n_name", F.lower(F.concat(F.lit("BRAND#"), F.col("n_nationkey").cast("string"))).alias("k"))
-    return table(spark, sf_dir, "part").withColumn("k", F.lower("p_brand")).join(nations, "k").select("p_partkey", "n_name")
-
-
 @query("""
 WITH held AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
 new AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM held) GROUP BY 1)
@@ -291,16 +195,34 @@ s AS (SELECT DISTINCT k.title, k.author FROM k, b WHERE greatest(jaro_winkler_si
 """
 
 
+_MISSING = """
+SELECT title, author, isbn13, priority, 'manual' AS source, NULL::VARCHAR AS notes FROM w
+WHERE NOT EXISTS (SELECT 1 FROM e WHERE owned AND e.isbn = w.isbn13) AND NOT EXISTS (SELECT 1 FROM s WHERE s.title = w.title AND s.author = w.author)
+"""
+
+
+@query(_CATALOGUE_SQL + _MISSING)
+def grab_list(spark, sf_dir):
+    return ownership.grab_list(*_catalogue(spark, sf_dir))
+
+
+@query(_CATALOGUE_SQL + _MISSING + " AND priority >= 8")
+def grab_min_priority(spark, sf_dir):
+    return ownership.grab_list(*_catalogue(spark, sf_dir), min_priority=8)
+
+
 @query(
     _CATALOGUE_SQL
-    + """
-SELECT title, author, isbn13, priority, 'manual' AS source, NULL::VARCHAR AS notes, (row_number() OVER (ORDER BY priority DESC, lower(title), coalesce(isbn13, ''), coalesce(author, '')))::INT AS rank FROM w
-WHERE NOT EXISTS (SELECT 1 FROM e WHERE owned AND e.isbn = w.isbn13) AND NOT EXISTS (SELECT 1 FROM s WHERE s.title = w.title AND s.author = w.author)
+    + ", m AS ("
+    + _MISSING
+    + """), r AS (SELECT *, row_number() OVER (ORDER BY priority DESC, lower(title)) AS rank FROM m)
+SELECT priority, lower(title) AS title, (rank - 1)::INT AS rank FROM r WHERE rank <= 100
 """
 )
-def grab_list(spark, sf_dir):
-    rank = F.row_number().over(Window.orderBy(F.desc("priority"), F.lower("title"), F.coalesce("isbn13", F.lit("")), F.coalesce("author", F.lit(""))))
-    return ownership.grab_list(*_catalogue(spark, sf_dir)).withColumn("rank", rank)
+def grab_top(spark, sf_dir):
+    # the first 100 of the list, in its order
+    top = ownership.grab_list(*_catalogue(spark, sf_dir)).limit(100).coalesce(1)
+    return top.select("priority", F.lower("title").alias("title"), F.monotonically_increasing_id().cast("int").alias("rank"))
 
 
 @query(
@@ -329,16 +251,6 @@ def stats_grab_count(spark, sf_dir):
     return ownership.missing_by_isbn(*_catalogue(spark, sf_dir)).agg(F.count("*").alias("grab_count"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
-@query("SELECT page_id, nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '') AS title FROM pages")
-def html_title_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit("")).alias("title"))
-
-
 @query("SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda w: length(w) > 4)[1] AS word FROM part")
 def array_first_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", first(F.filter(F.split("p_name", " "), lambda w: F.length(w) > 4)).alias("word"))
@@ -351,16 +263,6 @@ def report_csv_line(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", report.csv_line("doc_id", "source", "text").alias("line"))
 
 
-@query("""
-SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'labels' END, b.text, d.lang) AS found FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id
-""")
-def enrichment_fallback(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "labels").alias("a"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("b"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return docs.join(labels, "doc_id", "left").join(items, "doc_id", "left").select("doc_id", F.coalesce("a", "b", "lang").alias("found"))
-
-
 @query("SELECT page_id, replace(replace(replace(url, '%', '%25'), ':', '%3A'), '/', '%2F') AS encoded FROM (SELECT page_id, regexp_replace(url, '[^a-z0-9:/.-]', '', 'g') AS url FROM pages)")
 def url_encode(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.url_encode(F.regexp_replace("url", "[^a-z0-9:/.-]", "")).alias("encoded"))
@@ -385,3 +287,6 @@ def book_similarity_score(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("n_nationkey", F.col("p_size") % 25)
     both = part.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name"), "n_nationkey")
     return both.select("p_partkey", F.round(book_similarity("p_name", "p_brand", "n_name", F.lit("Brand#12")), 6).alias("score"))
+
+
+from libris.plans import command_queries  # noqa: E402, F401  registers its queries too

@@ -7,14 +7,16 @@ import io
 import os
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.parsers import expat
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from libris.functions.text import blank_to_null, normalize_isbn
 from libris.schema import PACKAGE_FIELDS
 
 _SCHEMA = T.StructType([*[T.StructField(c, T.StringType()) for c in PACKAGE_FIELDS], T.StructField("source_path", T.StringType()), T.StructField("error", T.StringType())])
@@ -182,6 +184,32 @@ def parse_packages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _SCHEMA)
 
 
+def write_package(title: str | None, authors: Sequence[str], isbn: str | None = None, series_name: str | None = None, series_position: str | None = None) -> bytes:
+    """A package that :func:`parse_package` reads, its texts escaped for XML."""
+    quote = lambda x: escape(x, {'"': "&quot;"})
+    parts = [f"<dc:title>{escape(title)}</dc:title>"] if title is not None else []
+    parts += [f"<dc:creator>{escape(a)}</dc:creator>" for a in authors]
+    parts += [f'<dc:identifier opf:scheme="ISBN">{escape(isbn)}</dc:identifier>'] if isbn is not None else []
+    series = {"calibre:series": series_name, "calibre:series_index": series_position}
+    parts += [f'<meta name="{n}" content="{quote(v)}"/>' for n, v in series.items() if v is not None]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr(_CONTAINER, '<?xml version="1.0"?><container><rootfiles><rootfile full-path="content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+        archive.writestr("content.opf", f'<?xml version="1.0" encoding="utf-8"?><package xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf"><metadata>{"".join(parts)}</metadata></package>')
+    return out.getvalue()
+
+
+def write_packages(rows: DataFrame) -> DataFrame:
+    """(path, content): a package for each row (path, title, authors as an array, isbn, series_name, series_position)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [write_package(t, [x for x in a if x is not None] if a is not None else [], i, s, p) for t, a, i, s, p in zip(b["title"], b["authors"], b["isbn"], b["series_name"], b["series_position"], strict=True)]
+            yield pd.DataFrame({"path": b["path"], "content": made})
+
+    return rows.select("path", "title", "authors", "isbn", "series_name", "series_position").mapInPandas(run, "path string, content binary")
+
+
 def check_folder(folder: str) -> None:
     """Raises unless ``folder`` is a folder of a local file system; other stores are checked by Spark."""
     if "://" not in folder and not os.path.isdir(folder):
@@ -206,18 +234,22 @@ def list_files(folder: str) -> tuple[list[str], int]:
     return sorted(found), others
 
 
-def scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
-    """(packages, errors, other files) of a folder and all below it."""
+def as_editions(parsed: DataFrame) -> DataFrame:
+    """Packages that could be read, as new editions: owned, unlinked, not enriched; an ISBN in normal form or null."""
+    none = F.lit(None)
+    good = parsed.where(F.col("error").isNull()).drop("error").withColumn("isbn", blank_to_null(normalize_isbn("isbn")))
+    return good.withColumns({"work_id": none.cast("long"), "owned": F.lit(1).cast("long"), "enriched_at": none.cast("string"), "enrichment_attempted": F.lit(0).cast("long")})
+
+
+def scan(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """(packages as :func:`parse_packages` gives them, number of other files) of a folder and all below it."""
     check_folder(folder)
     if "://" in folder:
         every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         others = every.select("path").where(~F.lower("path").endswith(".epub")).count()
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(folder)
-    else:
-        paths, others = list_files(folder)
-        if not paths:
-            empty = spark.createDataFrame([], _SCHEMA)
-            return empty.drop("error"), empty.select("source_path", "error"), others
-        files = spark.read.format("binaryFile").load(paths).withColumn("path", F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))))
-    parsed = parse_packages(files)
-    return parsed.where(F.col("error").isNull()).drop("error"), parsed.where(F.col("error").isNotNull()).select("source_path", "error"), others
+        return parse_packages(every.where(F.lower("path").endswith(".epub"))), others
+    paths, others = list_files(folder)
+    if not paths:
+        return spark.createDataFrame([], _SCHEMA), others
+    files = spark.read.format("binaryFile").load(paths).withColumn("path", F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))))
+    return parse_packages(files), others

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from libris.functions.text import normalize_isbn, url_encode
+from libris.functions.text import normalize_isbn, trim, url_encode
 
 Transport = Callable[[str], tuple[int, str]]
 
 #: Where the services live; tests give others.
 CATALOGUE = "https://openlibrary.org"
 VOLUMES = "https://www.googleapis.com"
-#: A paging service is asked for no more pages than this.
+#: A paging service that has more pages than this is an error.
 MOST_PAGES = 10_000
 WORKS_PAGE = 50
 
@@ -135,8 +135,8 @@ def reading_list(transport: Transport, user: str, base: str = CATALOGUE) -> list
         entries = body.get("reading_log_entries") or []
         out += [{"title": w.get("title"), "author": ", ".join(w.get("author_names") or []) or None, "source_id": w.get("key")} for w in (e["work"] for e in entries)]
         if not entries or page >= -(-int(body.get("numFound") or 0) // len(entries)):
-            break
-    return out
+            return out
+    raise ServiceError(f"more than {MOST_PAGES} pages of {user}'s reading list")
 
 
 def author_key(transport: Transport, name: str, base: str = CATALOGUE) -> str | None:
@@ -152,17 +152,54 @@ def author_works(transport: Transport, key: str, base: str = CATALOGUE) -> list[
     for page in range(MOST_PAGES):
         entries = _get(transport, f"{base}/authors/{bare}/works.json?limit={WORKS_PAGE}&offset={page * WORKS_PAGE}").get("entries") or []
         if not entries:
-            break
+            return out
         out += [{"title": e.get("title"), "source_id": e.get("key")} for e in entries]
-    return out
+    raise ServiceError(f"more than {MOST_PAGES} pages of works of {key}")
 
 
-def series_books(transport: Transport, series: str, base: str = CATALOGUE) -> list[dict]:
-    """Books that a search ascribes to a series, by its name within theirs in any case."""
-    url = f"{base}/search.json?q={quote(series, safe='')}&fields=title,author_name,isbn,series,series_number,key&limit=50"
-    docs = _get(transport, url).get("docs") or []
-    fits = [d for d in docs if any(series.lower() in s.lower() for s in d.get("series") or [])]
-    return [{"title": d.get("title"), "author": (d.get("author_name") or [None])[0], "isbn13": (d.get("isbn") or [None])[0], "source_id": d.get("key")} for d in fits]
+_FOUND = "id long, name string, ol_key string, error string, works array<struct<title:string,source_id:string>>"
+
+
+def works_of(authors: DataFrame, transport: Transport, base: str = CATALOGUE) -> DataFrame:
+    """(id, name, ol_key, error, works) of ``authors`` (id, name, ol_key): each author's pages are one task's turn.
+
+    An author without a key is searched for.  error is null where all went well.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for ident, name, key in zip(batch["id"], batch["name"], batch["ol_key"], strict=True):
+                try:
+                    key = key or author_key(transport, name, base)
+                    if key is None:
+                        raise ServiceError(f"author not found: {name}")
+                    rows.append((ident, name, key, None, author_works(transport, key, base)))
+                except Exception as error:  # noqa: BLE001 any failure of a service fails this author only
+                    rows.append((ident, name, key, repr(error), []))
+            yield pd.DataFrame(rows, columns=["id", "name", "ol_key", "error", "works"])
+
+    return authors.select("id", "name", "ol_key").mapInPandas(run, _FOUND)
+
+
+_SERIES = "struct<docs:array<struct<title:string,author_name:array<string>,isbn:array<string>,series:array<string>,key:string>>>"
+
+
+def series_url(series: Column, base: str = CATALOGUE) -> Column:
+    return F.concat(F.lit(f"{base}/search.json?q="), url_encode(series), F.lit("&fields=title,author_name,isbn,series,series_number,key&limit=50"))
+
+
+def series_books(body: Column, series: Column) -> Column:
+    """Array of (title, author, isbn13, source_id) of books that a search ascribes to a series, by its name within theirs in any case."""
+    docs = F.coalesce(F.from_json(body, _SERIES)["docs"], F.from_json(F.lit('{"docs": []}'), _SERIES)["docs"])
+    fits = F.filter(docs, lambda d: F.exists(F.coalesce(d["series"], F.array().cast("array<string>")), lambda s: F.contains(F.lower(s), F.lower(series))))
+    return F.transform(fits, lambda d: F.struct(d["title"].alias("title"), first(d["author_name"]).alias("author"), first(d["isbn"]).alias("isbn13"), d["key"].alias("source_id")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Sorted rows (title, author, isbn13, source_id) as entries with a ``line`` that rises with their order; those without a title go."""
+    titled = rows.withColumn("title", trim("title")).where(F.coalesce("title", F.lit("")) != "")
+    return titled.select("title", "author", "isbn13", "source_id").withColumn("line", F.monotonically_increasing_id())
 
 
 def entries(spark: SparkSession, rows: list[dict]) -> DataFrame:

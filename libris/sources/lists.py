@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from libris.functions.text import blank_to_null, is_list_entry, isbn10_to_13, parse_line, unwrap_isbn
+from libris.functions.text import blank_to_null, is_list_entry, isbn10_to_13, parse_line, trim, unwrap_isbn
 
 #: Headers that an export must have, and may have.
 REQUIRED = ("Title", "Author", "ISBN13", "Book Id")
@@ -33,9 +33,9 @@ def read_export(spark: SparkSession, path: str, all_shelves: bool = False) -> tu
     schema = T.StructType([*[T.StructField(f, T.StringType()) for f in fields], T.StructField("_damaged", T.StringType())])
     raw = spark.read.options(header=True, enforceSchema=True, columnNameOfCorruptRecord="_damaged", **options).schema(schema).csv(path)
     get = lambda c: blank_to_null(f"`{c}`") if c in fields else F.lit(None).cast("string")
-    blank = F.concat_ws("", *[F.trim(F.col(f"`{f}`")) for f in fields]) == ""
+    blank = F.concat_ws("", *[trim(f"`{f}`") for f in fields]) == ""
     rows = raw.withColumn("line", F.monotonically_increasing_id()).where(F.col("_damaged").isNotNull() | ~blank)
-    title = F.trim(F.col("Title"))
+    title = trim("Title")
     shelf = F.lit(True) if all_shelves else F.coalesce(get("Exclusive Shelf"), F.lit("")) == SHELF
     good = F.col("_damaged").isNull() & (F.coalesce(title, F.lit("")) != "") & shelf
     entries = rows.where(good).select(

@@ -201,6 +201,64 @@ def test_watch(spark, tmp_path):
     assert store.table("editions").count() == 1
 
 
+def test_watch_links_and_has_no_empty_isbn(spark, tmp_path):
+    from libris.store import Store
+
+    books = tmp_path / "books"
+    books.mkdir()
+    for i, b in enumerate([("A", "B", "n/a"), ("Other Thing", "C", "none"), ("Dune", "Frank Herbert", "9780441013593"), ("Dune", "F. Herbert", "978-0441013593")]):
+        (books / f"{i}.epub").write_bytes(book(*b))
+    store = Store(spark, str(tmp_path / "lib"))
+    watch(spark, str(books), store, str(tmp_path / "seen")).awaitTermination()
+    rows = {r.title + r.authors: r for r in store.table("editions").collect()}
+    assert rows["AB"].isbn is None and rows["Other ThingC"].isbn is None and rows["AB"].work_id != rows["Other ThingC"].work_id
+    assert rows["DuneFrank Herbert"].work_id == rows["DuneF. Herbert"].work_id and store.table("works").count() == 3
+
+
+def test_written_packages_are_read(spark):
+    rows = spark.createDataFrame([("/a", 'x <&> "y"', ["A & B", None], "9780441013593", 'S "1"', "2")], "path string, title string, authors array<string>, isbn string, series_name string, series_position string")
+    got = epub.parse_packages(epub.write_packages(rows)).first()
+    assert (got.title, got.authors, got.isbn, got.series_name, got.series_position, got.error) == ('x <&> "y"', "A & B", "9780441013593", 'S "1"', "2", None)
+
+
+def test_paging_that_does_not_end_is_an_error(monkeypatch):
+    monkeypatch.setattr(http, "MOST_PAGES", 3)
+    more = json.dumps({"numFound": 10**6, "reading_log_entries": [{"work": {"title": "x", "key": "k"}}], "entries": [{"title": "x", "key": "k"}]})
+    with pytest.raises(http.ServiceError, match="pages"):
+        http.reading_list(lambda u: (200, more), "me")
+    with pytest.raises(http.ServiceError, match="pages"):
+        http.author_works(lambda u: (200, more), "OL1")
+
+
+def test_two_empty_answers_of_grab(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"), clock=lambda: NOW)
+    grab = cli.parser().parse_args(["grab"])
+    assert cli.run(grab, lib) == (0, "Want list is empty.\n")
+    lib.store.commit({"want_list": wants(spark, [{"title": "Dune", "author": "Frank Herbert"}]), "editions": editions(spark, [{"title": "Dune", "authors": "Frank Herbert"}])})
+    assert cli.run(grab, lib) == (0, "All wanted books are already owned.\n")
+    assert cli.run(cli.parser().parse_args(["grab", "--output", "json"]), lib) == (0, "[]")
+
+
+def test_lists_trim_all_white_space(spark, tmp_path):
+    path = tmp_path / "list.txt"
+    path.write_text("\t\n\tDune by Frank Herbert\t\n1. \u00a0Emma\n\u2003# comment\n")
+    from libris.sources.lists import read_lines
+
+    assert [(r.title, r.author) for r in read_lines(spark, str(path)).orderBy("line").collect()] == [("Dune", "Frank Herbert"), ("Emma", None)]
+
+
+def test_one_of_two_writers_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from libris.publish import publish
+
+    for n in range(5):
+        with ThreadPoolExecutor(6) as pool:
+            done = list(pool.map(lambda k, n=n: publish(spark, f"{tmp_path}/p/{n}", f"writer {k}"), range(6)))
+        assert done.count(True) == 1 and (tmp_path / "p" / str(n)).read_text() == f"writer {done.index(True)}"
+    assert sorted(x.name for x in (tmp_path / "p").iterdir() if not x.name.endswith(".crc")) == list("01234")
+
+
 def test_store_is_atomic(spark, tmp_path):
     from libris.store import Store
 
