@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterable, Sequence
 from itertools import chain
 
@@ -14,13 +15,13 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from libris.llm.common import Numbered, Ragged, Remembered, parts
+from libris.llm.common import Numbered, Ragged, Remembered, by_parts, strings
 
-#: White space other than space and line feed: such texts aren't cut into chunks first.
-_ODD_SPACE = regex.compile(r"[^\S \n]")
+#: The characters of Unicode's White_Space property, what ``\s`` means in patterns.
+_WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A match of the usual patterns never crosses the place between a character that isn't
 #: white space and white space, so a text can be cut there before the pattern is applied.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 class RankQueue:
@@ -34,19 +35,19 @@ class RankQueue:
     def __init__(self, ranks: int):
         if ranks > 1 << 18:
             raise ValueError("three levels of 64 bits hold 262144 ranks")
-        self.buckets: list[list[int] | None] = [None] * ranks
+        self.buckets: list[array | None] = [None] * ranks
         self.low = [0] * (ranks // 64 + 1)
         self.mid = [0] * (ranks // 4096 + 1)
         self.top = 0
 
-    def fill(self, rank: int, positions: list[int]) -> None:
+    def fill(self, rank: int, positions: array) -> None:
         """Makes ``positions`` the bucket of a rank that has none."""
         self.buckets[rank] = positions
         self.low[rank >> 6] |= 1 << (rank & 63)
         self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
 
-    def pop(self) -> tuple[int, list[int]] | None:
+    def pop(self) -> tuple[int, array] | None:
         """The lowest rank that has entries, and these in no order."""
         if not self.top:
             return None
@@ -70,7 +71,7 @@ class ByteBPE:
     id is its rank; there are no special tokens.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 60_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must have a rank")
         self.ranks = ranks
@@ -139,7 +140,7 @@ class ByteBPE:
             of = rank_of[order]
             cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             for rank, a, b in zip(of[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
-                queue.fill(rank, order[a:b].tolist())
+                queue.fill(rank, array("i", order[a:b].astype(np.int32).tobytes()))
         del order
         ids, rank_at, after, before = (memoryview(x) for x in (ids_of, rank_of, after_of, before_of))
         find, width, buckets, fill, size = self.merges.get, self.width, queue.buckets, queue.fill, self.size
@@ -147,16 +148,16 @@ class ByteBPE:
             rank, bucket = lowest
             several = False
             if len(bucket) >= wide:
-                i = np.unique(np.array(bucket, np.int32))
+                i = np.unique(np.frombuffer(bucket, np.int32))
                 i = i[rank_of[i] == rank]  # without the stale ones
                 piece = piece_of[i]
                 leftmost = np.ones(len(i), bool)
                 leftmost[1:] = piece[1:] != piece[:-1]
                 several = int(leftmost.sum()) >= wide
-                bucket = i.tolist()
+                bucket = memoryview(i)
             if several:
                 if not leftmost.all():
-                    fill(rank, i[~leftmost].tolist())
+                    fill(rank, array("i", i[~leftmost].tobytes()))
                     i = i[leftmost]
                 j = after_of[i]
                 k = after_of[j]
@@ -173,11 +174,12 @@ class ByteBPE:
                 on = ranks >= 0
                 for r, p in zip(ranks[on].tolist(), places[on].tolist(), strict=True):
                     if (other := buckets[r]) is None:
-                        fill(r, [p])
+                        fill(r, array("i", (p,)))
                     else:
                         other.append(p)
                 continue
-            bucket.sort()
+            else:
+                bucket = sorted(bucket)
             for at, i in enumerate(bucket):
                 if rank_at[i] != rank:
                     continue  # stale
@@ -192,7 +194,7 @@ class ByteBPE:
                 least = size
                 if new >= 0:
                     if (other := buckets[new]) is None:
-                        fill(new, [i])
+                        fill(new, array("i", (i,)))
                     else:
                         other.append(i)
                     least = new
@@ -201,15 +203,15 @@ class ByteBPE:
                     rank_at[h] = new = find(ids[h] * width + rank, -1)
                     if new >= 0:
                         if (other := buckets[new]) is None:
-                            fill(new, [h])
+                            fill(new, array("i", (h,)))
                         else:
                             other.append(h)
                         if new < least:
                             least = new
                 if least <= rank:
-                    if rest := bucket[at + 1 :]:
+                    if len(rest := bucket[at + 1 :]):
                         if buckets[rank] is None:
-                            fill(rank, rest)
+                            fill(rank, array("i", rest))
                         else:
                             buckets[rank].extend(rest)
                     break
@@ -225,7 +227,7 @@ class ByteBPE:
         whole = np.array([self.ranks.get(x, -1) for x in raw], np.int32)
         parts = np.flatnonzero(whole < 0)
         merged: list[Ragged] = [Ragged(whole[whole >= 0], np.ones(int((whole >= 0).sum()), np.int64))]
-        start, most = 0, 1 << 20
+        start, most = 0, 1 << 19
         while start < len(parts):
             stop, size = start, 0
             while stop < len(parts) and (size < most or stop == start):
@@ -243,7 +245,7 @@ class ByteBPE:
 
     def encode_all(self, texts: Sequence[str]) -> Ragged:
         """The ids of each text."""
-        return self.kept.encoded(_CHUNK.findall(t) if not _ODD_SPACE.search(t) else [t] for t in texts)
+        return self.kept.encoded(map(_CHUNK.findall, texts))
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text]).flat.tolist()
@@ -270,21 +272,34 @@ def encoded(text: str | Column, path: str, pattern: str) -> Column:
     """Column of token ids (array of int) of a text column; null counts as the empty text.
 
     ``path`` must be readable on every executor: it is a file of a package installed there.
+    Texts of any length are encoded whole; what is remembered of them is bounded
+    (:class:`libris.llm.common.Remembered`), and a batch is worked through in parts of about 2 MB.
     """
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         bpe = tokenizer(path, pattern)
-        done = [bpe.encode_all([x or "" for x in part.to_pylist()]) for part in parts(column, 8 << 20)]
-        offsets = np.zeros(len(column) + 1, np.int32)
-        if done:
-            np.cumsum(np.concatenate([d.counts for d in done]), out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([d.flat for d in done]) if done else np.zeros(0, np.int32)))
+
+        def work(part: pa.Array) -> pa.Array:
+            ids = bpe.encode_all(strings(part))
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ids.counts)].astype(np.int32)), pa.array(ids.flat))
+
+        return by_parts(column, pa.list_(pa.int32()), work)
 
     # called deterministic it would be computed again for every use of the column
     return encode.asNondeterministic()(text)
 
 
+def counted(text: str | Column, path: str, pattern: str) -> Column:
+    """Column of the numbers of token ids (long) of a text column, as :func:`encoded` gives them."""
+
+    @F.arrow_udf("long")
+    def count(column: pa.Array) -> pa.Array:
+        return by_parts(column, pa.int64(), lambda part: pa.array(tokenizer(path, pattern).encode_all(strings(part)).counts, pa.int64()))
+
+    return count(text)
+
+
 def decoded(ids: str | Column, path: str) -> Column:
     """Column of the bytes that a column of token ids stands for; null gives null, an unknown id is an error."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from libris.checkpoints import checkpointed, shared_folder
 
-__all__ = ["OWN", "Numbered", "Ragged", "Remembered", "checkpointed", "parts", "shared_folder", "slices", "strings", "table", "without"]
+__all__ = ["OWN", "Numbered", "Ragged", "Remembered", "by_parts", "checkpointed", "parts", "shared_folder", "slices", "strings", "table", "without"]
 
 #: Columns that an operator adds while it works start with this, so that they
 #: can't clash with columns of the input.
@@ -36,12 +36,18 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def parts(column: pa.Array, most_bytes: int) -> Iterator[pa.Array]:
+def parts(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array]:
     """A text column cut into pieces of about ``most_bytes``; no text is cut."""
     for batch in slices([pa.RecordBatch.from_arrays([column], ["x"])], "x", most_bytes):
         yield batch.column(0)
 
 
+def by_parts(column: pa.Array, kind: pa.DataType, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """What ``work`` gives for a column, done in :func:`parts`, so that its lists and arrays are those of one part only."""
+    done = [work(part) for part in parts(column)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one text column holds about ``most_bytes`` in each.
 
@@ -96,24 +102,43 @@ class Ragged:
         return Ragged(self.take(rows), np.diff(ends[np.r_[0, np.cumsum(sizes)]]))
 
 
+class _Kept(Numbered):
+    """Numbers of keys of up to ``longest`` characters; longer ones are numbered -1, -2, ... in ``long``."""
+
+    def __init__(self, longest: int):
+        super().__init__()
+        self.longest, self.long = longest, Numbered()
+
+    def __missing__(self, key: str) -> int:
+        return super().__missing__(key) if len(key) <= self.longest else ~self.long[key]
+
+
 class Remembered:
-    """Ids of chunks of text; those of chunks seen lately are kept.
+    """Ids of chunks of text; those of short chunks seen lately are kept.
 
     A text is a row of chunk numbers, so that the text's own ids are gathered from
-    what is kept without a step per id.
+    what is kept without a step per id.  Kept are at most ``most`` chunks of at most ``longest``
+    characters, besides those of the last call; a longer chunk is encoded once a call.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Ragged], most: int):
-        self.encode, self.most = encode, most
-        self.numbers, self.ids = Numbered(), Ragged.empty()
+    def __init__(self, encode: Callable[[list[str]], Ragged], most: int, longest: int = 48):
+        self.encode, self.most, self.longest = encode, most, longest
+        self.numbers, self.ids = _Kept(longest), Ragged.empty()
 
     def encoded(self, chunked: Iterable[Iterable[str]]) -> Ragged:
         """The ids of texts that are given by their chunks."""
         if len(self.numbers) > self.most:
-            self.numbers, self.ids = Numbered(), Ragged.empty()
+            self.numbers, self.ids = _Kept(self.longest), Ragged.empty()
         had = len(self.numbers)
         number = self.numbers.__getitem__
         rows = [np.fromiter(map(number, chunks), np.int32) for chunks in chunked]
-        self.ids = Ragged.joined([self.ids, self.encode(list(islice(self.numbers, had, None)))])
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        return self.ids.grouped(np.concatenate(rows) if rows else np.zeros(0, np.int64), sizes)
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        del rows
+        self.ids = Ragged.joined([self.ids, self.encode(list(islice(self.numbers, had, None)))])
+        ids = self.ids
+        if self.numbers.long:
+            ids = Ragged.joined([ids, self.encode(list(self.numbers.long))])
+            flat = np.where(flat < 0, len(self.numbers) + ~flat, flat)
+            self.numbers.long = Numbered()
+        return ids.grouped(flat, sizes)

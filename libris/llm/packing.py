@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from libris.llm.common import Numbered, Ragged, Remembered, checkpointed, parts, slices, strings
+from libris.llm.common import Numbered, Ragged, Remembered, by_parts, checkpointed, slices, strings
 
 #: Python's white space that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -71,7 +71,7 @@ def token_counts(text: str | Column, path: str) -> Column:
 
     @F.arrow_udf("long")
     def count(column: pa.Array) -> pa.Array:
-        return pa.array([n for part in parts(column, 8 << 20) for n in _cache(path).encode_all(strings(part)).counts.tolist()], pa.int64())
+        return by_parts(column, pa.int64(), lambda part: pa.array(_cache(path).encode_all(strings(part)).counts, pa.int64()))
 
     return count(text)
 
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             rows = []
             encoded = _cache(path).encode_all(strings(batch.column("text")))
             end = np.array([end_id], "<u4").tobytes()
