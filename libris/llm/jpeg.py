@@ -20,7 +20,7 @@ UNIT = 192
 #: Quantiser step of every coefficient in files written here: with 8 a block's mean is its DC plus 128.
 STEP = 8
 _MOST_ROWS = 65535 // 8
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 @dataclass

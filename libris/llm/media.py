@@ -9,10 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from libris.llm import jpeg
+from libris.llm.common import by_parts
 
 _READ = "struct<width:int,height:int,thumbnail_dhash:string,thumbnail_xxh64:string,payload:binary,error:string>"
 #: Bytes of images that are decoded together.
-_TOGETHER = 4 << 20
+_TOGETHER = 1 << 20
 
 
 def padded(text: str | None) -> bytes:
@@ -22,11 +23,14 @@ def padded(text: str | None) -> bytes:
 
 
 def stored_text(text: str | Column) -> Column:
-    """Column of JPEGs, each holding a whole text of a column exactly (see :func:`libris.llm.jpeg.stored`)."""
+    """Column of JPEGs, each holding a whole text of a column exactly (see :func:`libris.llm.jpeg.stored`).
+
+    Null counts as the empty text, which is 192 spaces; a text of any length is one image.
+    """
 
     @F.arrow_udf("binary")
     def store(column: pa.Array) -> pa.Array:
-        return pa.array([jpeg.stored(padded(x)) for x in column.to_pylist()], pa.binary())
+        return by_parts(column, pa.binary(), lambda part: pa.array((jpeg.stored(padded(x)) for x in part.to_pylist()), pa.binary(), size=len(part)))
 
     # called deterministic it would be computed again for every use of the column
     return store.asNondeterministic()(text)
@@ -83,11 +87,14 @@ def image_features(media: str | Column) -> Column:
     the rest being null then.  Null gives a struct of nulls.
     """
 
+    kinds = {"width": pa.int32(), "height": pa.int32(), "thumbnail_dhash": pa.string(), "thumbnail_xxh64": pa.string(), "payload": pa.binary(), "error": pa.string()}
+
+    def work(part: pa.Array) -> pa.Array:
+        rows = read_images(part.to_pylist())
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
     @F.arrow_udf(_READ)
     def read(column: pa.Array) -> pa.Array:
-        rows = read_images(column.to_pylist())
-        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string())
-        names = ("width", "height", "thumbnail_dhash", "thumbnail_xxh64", "payload", "error")
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=list(names))
+        return by_parts(column, pa.struct(list(kinds.items())), work)
 
     return read.asNondeterministic()(media)
