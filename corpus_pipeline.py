@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from libris.llm.common import OWN, shared_folder, table
+from libris.checkpoints import deleted, shared_folder, temporary
+from libris.llm.common import OWN, table
 from libris.llm.line_dedup import dedup_lines
 from libris.llm.queries import packed
 from libris.llm.simhash import drop_near_duplicates
@@ -55,10 +58,14 @@ STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each result but the last written as Parquet in the shared folder and read again."""
+    """All stages, each result but the last written as Parquet in the shared folder and read again; the folder goes with the session."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    folder = temporary(spark, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            deleted(spark, f"{folder}/{before}")  # the stage after it is written
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
