@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from libris.checkpoints import checkpointed, shared_folder
+from libris.checkpoints import checkpointed, deleted, shared_folder
 
-__all__ = ["OWN", "Numbered", "Ragged", "Remembered", "by_parts", "checkpointed", "parts", "shared_folder", "slices", "strings", "table", "without"]
+__all__ = ["OWN", "Numbered", "Ragged", "Remembered", "by_parts", "checkpointed", "deleted", "parts", "shared_folder", "slices", "smallest", "strings", "table", "without"]
 
 #: Columns that an operator adds while it works start with this, so that they
 #: can't clash with columns of the input.
@@ -25,6 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smallest(rows: DataFrame, order: str, most: int, n: int) -> DataFrame:
+    """The ``most`` rows of the smallest hashes in column ``order`` (uniform over all longs), of ``n`` rows in all.
+
+    Rows are first filtered by a threshold that leaves about twice as many, so that
+    tasks don't each pass on their own smallest ones; if chance leaves too few, all are looked at.
+    """
+    wanted = 2 * most + 1000
+    if n > wanted:
+        below = rows.where(F.col(order) < -(1 << 63) + (1 << 64) * wanted // n)
+        if below.count() >= most:
+            rows = below
+    return rows.orderBy(order, *[c for c in rows.columns if c != order]).limit(most)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to add (names in any case)."""
     gone = {x.lower() for x in names}
