@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from libris.llm.spans import Segmenter, remove_repeats
+from libris.llm.spans import Segmenter, Segments, digests, line_cuts, remove_repeats
 
 #: White space that doesn't count at a line's ends.
-EDGE = " \t\r\f\v"
+EDGE = b" \t\r\f\v"
 
 
 def line_windows(width: int = 3) -> Segmenter:
     """Pieces: lines with their line feeds.  Spans: every ``width`` consecutive lines that aren't blank."""
 
-    def segment(text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
-        pieces = text.split("\n")
-        full = [(i, x) for i, line in enumerate(pieces) if (x := line.strip(EDGE))]
-        spans = [(full[k][0], full[k + width - 1][0], "\n".join([x for _, x in full[k : k + width]])) for k in range(len(full) - width + 1)]
-        pieces = [x + "\n" for x in pieces[:-1]] + pieces[-1:]
-        return pieces, spans
+    def segment(raw: bytes) -> Segments:
+        pieces = raw.split(b"\n")
+        bare = [x.strip(EDGE) for x in pieces]
+        at = [i for i, x in enumerate(bare) if x]
+        full = [bare[i] for i in at]
+        spans = digests(map(b"\n".join, zip(*(full[k:] for k in range(width)), strict=False)))
+        return Segments(line_cuts([x + b"\n" for x in pieces[:-1]] + pieces[-1:]), at[: len(spans)], at[width - 1 :], spans)
 
     return segment
 
