@@ -290,16 +290,6 @@ def encoded(text: str | Column, path: str, pattern: str) -> Column:
     return encode.asNondeterministic()(text)
 
 
-def counted(text: str | Column, path: str, pattern: str) -> Column:
-    """Column of the numbers of token ids (long) of a text column, as :func:`encoded` gives them."""
-
-    @F.arrow_udf("long")
-    def count(column: pa.Array) -> pa.Array:
-        return by_parts(column, pa.int64(), lambda part: pa.array(tokenizer(path, pattern).encode_all(strings(part)).counts, pa.int64()))
-
-    return count(text)
-
-
 def decoded(ids: str | Column, path: str) -> Column:
     """Column of the bytes that a column of token ids stands for; null gives null, an unknown id is an error."""
 

@@ -2,40 +2,54 @@
 
 from __future__ import annotations
 
+import base64
 import functools
+import json
+import re
 import uuid
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from libris.llm.bpe import tokenizer
+from libris.llm.common import by_parts, strings
+from libris.publish import publish
+
 #: What totals are kept by, and what is totalled.
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = ("documents", "tokens")
 _SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
 
 
-@functools.lru_cache(maxsize=4)
-def _encoding(path: str, pattern: str):
-    import base64
+#: Where the library's matcher and merges would take too deep a stack or too long.
+_LONG_RUN = re.compile(r"\s{1000}|\S{1000}")
 
-    import tiktoken
 
+@functools.lru_cache(maxsize=4)
+def _library(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def byte_bpe_counts(text: str | Column, path: str, pattern: str) -> Column:
-    """Column of the numbers of byte-level BPE tokens of a text column; null counts as the empty text."""
+    """Column of the numbers of byte-level BPE tokens (long) of a text column; null counts as the empty text.
+
+    Texts that hold a run of 1,000 characters or more with or without white space, on which the
+    tokenizer library can fail, are counted by :class:`libris.llm.bpe.ByteBPE`, which gives the same ids for any length.
+    """
+
+    def count(t: str) -> int:
+        return int(tokenizer(path, pattern).encode_all([t]).counts[0]) if _LONG_RUN.search(t) else len(_library(path, pattern).encode_ordinary(t))
 
     @F.arrow_udf("long")
-    def count(column: pa.Array) -> pa.Array:
-        encode = _encoding(path, pattern).encode_ordinary
-        return pa.array([len(encode(x or "")) for x in column.to_pylist()], pa.int64())
+    def counts(column: pa.Array) -> pa.Array:
+        return by_parts(column, pa.int64(), lambda part: pa.array([count(t) for t in strings(part)], pa.int64()))
 
-    return count(text)
+    return counts(text)
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -61,11 +75,11 @@ class Rollup:
     """Totals by source, language and tokenizer version, in a folder that all machines share.
 
     A batch of changes is one commit: its changes are summed up (before and after
-    the shuffle), written aside and renamed to the batch's name, so a batch is there
-    as a whole or not at all.  A batch of a name that is there already changes
-    nothing, whatever it holds.  Totals are the sum of all batches; :meth:`compact` folds
-    batches into a base that also remembers their names.  One writer at a time
-    may compact; commits of different batches may run at once.
+    the shuffle) and written aside; then a small file under the batch's name says where. Of
+    several writers of one name exactly one makes that file, so a batch counts once and as a whole.  A batch of a
+    name that is there already changes nothing, whatever it holds.  Totals are the sum
+    of all batches; :meth:`compact` folds batches into a base that also remembers their
+    names.  One writer at a time may compact; commits may run at once.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -73,63 +87,70 @@ class Rollup:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _names(self, kind: str) -> list[str]:
-        at = self._path(f"{self.folder}/{kind}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+    def _at(self, *parts: str):
+        return self._path("/".join([self.folder, *parts]))
 
-    def _place(self, write, kind: str, name: str) -> bool:
-        """Whether what ``write`` wrote aside became ``kind/name``."""
-        aside, to = f"{self.folder}/aside/{uuid.uuid4().hex}", self._path(f"{self.folder}/{kind}/{name}")
-        write(aside)
-        self._fs.mkdirs(to.getParent())
-        done = not self._fs.exists(to) and self._fs.rename(self._path(aside), to)
-        if not done:
-            self._fs.delete(self._path(aside), True)
-        return done
+    def _base(self) -> str | None:
+        """The folder of the base that counts."""
+        at = self._at("base")
+        numbers = [int(s.getPath().getName()) for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return self.spark.read.json(f"{self.folder}/base/{max(numbers)}", schema="data string").first()["data"] if numbers else None
 
-    def _base(self) -> tuple[int, set[str]]:
-        numbers = [int(x) for x in self._names("base")]
-        if not numbers:
-            return 0, set()
-        return max(numbers), {r["name"] for r in self.spark.read.parquet(f"{self.folder}/base/{max(numbers)}/names").collect()}
+    def _open(self) -> DataFrame:
+        """(name, data) of batches that aren't folded into the base."""
+        schema = "name string, data string"
+        if not (self._fs.exists(self._at("batch")) and len(self._fs.listStatus(self._at("batch")))):
+            return self.spark.createDataFrame([], schema)
+        made = self.spark.read.json(f"{self.folder}/batch", schema=schema)
+        return made.join(self._folded(), "name", "left_anti")
+
+    def _folded(self) -> DataFrame:
+        base = self._base()
+        return self.spark.read.parquet(f"{self.folder}/{base}/names") if base else self.spark.createDataFrame([], "name string")
 
     def committed(self) -> set[str]:
         """Names of the batches that count."""
-        return {unquote(x) for x in self._names("batch")} | self._base()[1]
+        return {r["name"] for r in self._folded().union(self._open().select("name")).collect()}
+
+    def _marker(self, name: str) -> str:
+        return quote(name, safe="").replace("%", "=")  # readers may decode percent signs
 
     def commit(self, name: str, changes: DataFrame) -> bool:
         """Adds a batch; False if one of that name is there."""
-        if name in self.committed():
+        if self._fs.exists(self._at("batch", self._marker(name))) or not self._folded().where(F.col("name") == name).isEmpty():
             return False
-        delta = signed(changes).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS])
-        return self._place(lambda at: delta.write.parquet(at), "batch", quote(name, safe=""))
-
-    def _sum(self) -> tuple[DataFrame, set[str]]:
-        number, folded = self._base()
-        open_names = [x for x in self._names("batch") if unquote(x) not in folded]
-        paths = [f"{self.folder}/batch/{x}" for x in open_names]
-        paths += [f"{self.folder}/base/{number}/totals"] if number else []
-        # a reader takes percent signs in paths as they are
+        data = f"data/{uuid.uuid4().hex}"
+        signed(changes).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).write.parquet(f"{self.folder}/{data}")
+        done = publish(self.spark, f"{self.folder}/batch/{self._marker(name)}", json.dumps({"name": name, "data": data}))
+        if not done:
+            self._fs.delete(self._at(data), True)
+        return done
+
+    def _sum(self, batches: list[str], base: str | None) -> DataFrame:
+        paths = [f"{self.folder}/{x}" for x in batches] + ([f"{self.folder}/{base}/totals"] if base else [])
         rows = self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]), folded | {unquote(x) for x in open_names}
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS])
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens), without groups that hold nothing any more."""
-        return self._sum()[0].where((F.col("documents") != 0) | (F.col("tokens") != 0))
+        summed = self._sum([r["data"] for r in self._open().collect()], self._base())
+        return summed.where((F.col("documents") != 0) | (F.col("tokens") != 0))
 
     def compact(self) -> None:
         """Folds all batches into a new base; batches and bases before it are deleted."""
-        rows, names = self._sum()
-        number = self._base()[0]
-
-        def write(at: str) -> None:
-            rows.write.parquet(f"{at}/totals")
-            self.spark.createDataFrame([(x,) for x in sorted(names)], "name string").write.parquet(f"{at}/names")
-
-        if not self._place(write, "base", str(number + 1)):
+        base, batches = self._base(), self._open().collect()
+        to = f"data/{uuid.uuid4().hex}"
+        self._sum([r["data"] for r in batches], base).write.parquet(f"{self.folder}/{to}/totals")
+        names = self.spark.createDataFrame([(r["name"],) for r in batches], "name string")
+        self._folded().union(names).write.parquet(f"{self.folder}/{to}/names")
+        at = self._at("base")
+        number = max((int(s.getPath().getName()) for s in self._fs.listStatus(at)), default=0) if self._fs.exists(at) else 0
+        if not publish(self.spark, f"{self.folder}/base/{number + 1}", json.dumps({"data": to})):
+            self._fs.delete(self._at(to), True)
             raise RuntimeError("another writer compacted meanwhile")
-        for x in self._names("batch"):
-            if unquote(x) in names:
-                self._fs.delete(self._path(f"{self.folder}/batch/{x}"), True)
-        if number:
-            self._fs.delete(self._path(f"{self.folder}/base/{number}"), True)
+        for r in batches:
+            self._fs.delete(self._at("batch", self._marker(r["name"])), False)
+            self._fs.delete(self._at(r["data"]), True)
+        if base:
+            self._fs.delete(self._at("base", str(number)), False)
+            self._fs.delete(self._at(base), True)
