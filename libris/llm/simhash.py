@@ -23,6 +23,9 @@ _CHUNK = 1 << 16
 BLOCK = 16384
 #: Groups up to this size are compared by shifting the sorted rows against themselves.
 _SMALL = 24
+_TURN = 0x3C6EF372
+#: Hot buckets (rows of 12 bytes) that are broadcast; more are joined by a shuffle.
+_MOST_BROADCAST = 1 << 20
 #: Sets of up to this many shingles are too small for sampled keys to be sure.
 _SHORT = 40
 
@@ -226,23 +229,32 @@ def _grid_cells(own: Column) -> Column:
     )
 
 
-def near_classes(prints: DataFrame, radius: int, tables: list[np.ndarray], block: int = BLOCK, sample: int = 1) -> DataFrame:
+def fitting_tables(bits: int, radius: int, prints: int) -> list[np.ndarray]:
+    """:func:`exact_tables` with keys so long that a table's keys are no fewer than a hundredth of the fingerprints."""
+    keep = 2
+    while 100 << (bits * keep // (radius + keep)) < prints and keep < 4:
+        keep += 1
+    return exact_tables(bits, radius, keep)
+
+
+def near_classes(prints: DataFrame, radius: int, tables: list[np.ndarray] | None = None, block: int = BLOCK, sample: int = 16) -> DataFrame:
     """(f0, ..., root) for every fingerprint in ``prints`` (id, f0, ...).
 
-    Fingerprints are linked when they share a key of ``tables`` and differ in at
-    most ``radius`` bits; root is the smallest id of all that links reach.  Equal
+    Fingerprints are linked when they share a key of ``tables`` (by default :func:`fitting_tables`, which
+    miss no pair) and differ in at most ``radius`` bits; root is the smallest id of all that links reach.  Equal
     fingerprints are one row from here on.  A bucket of over ``block`` rows is cut
     into blocks, each pair of which is compared by a task of its own; of the links
-    found at one place only those of a spanning forest are passed on.  With ``sample``
-    the sizes of buckets are estimated from one row in so many; they decide the blocks only.
+    found at one place only those of a spanning forest are passed on.  The sizes of buckets are
+    estimated from one row in ``sample``; they decide the blocks only.
     """
     names = [c for c in prints.columns if c != "id"]
     reps = checkpointed(prints.where("id is not null").groupBy(*names).agg(F.min("id").alias("id")))
+    tables = tables or fitting_tables(64 * len(names), radius, reps.count())
     keyed = reps.mapInArrow(_expand(names, tables), "bucket long, id long, " + ", ".join(f"{x} long" for x in names))
-    counted = reps.select("id", *names) if sample == 1 else reps.select("id", *names).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(sample)) == 0)
+    counted = reps.select("id", *names).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(sample)) == 0)
     sizes = counted.mapInArrow(_expand(names, tables), keyed.schema).groupBy("bucket").count().withColumn("count", F.col("count") * sample).where(F.col("count") > block)
-    hot = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("grid"))
-    if sample > 1:
+    hot = checkpointed(sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("grid")))
+    if hot.count() <= _MOST_BROADCAST:
         hot = F.broadcast(hot)
     own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
     cells = F.when(F.col("grid").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side")))).otherwise(_grid_cells(own))
@@ -262,7 +274,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id (null if there is none), but is no member itself.
     fingerprint is lowercase hex, 16 digits for each of the words.
     """
-    tables = tables or exact_tables(64 * words, radius)
     prints = checkpointed(with_fingerprint(docs, id_col, text_col, shingle, words))
     classes = near_classes(prints, radius, tables, block)
     names = [f"f{w}" for w in range(words)]
@@ -383,14 +394,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = [f"f{w}" for w in range(words)]
     prints = checkpointed(_with_sets(judged, id_col, text_col, shingle, words, similarity))
     reps = checkpointed(prints.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in (*names, "size", "prefix")]))
-    classes = near_classes(reps.select("id", *names), similar_bits(bits, similarity) + slack, sampled_tables(bits, tables, width), sample=16)
+    classes = near_classes(reps.select("id", *names), similar_bits(bits, similarity) + slack, sampled_tables(bits, tables, width))
     placed = checkpointed(reps.join(classes, names).select("id", "digest", "size", "prefix", "root"))
     heads = placed.select("root", F.explode("prefix").alias("head")).distinct()
     least = heads.groupBy("head").agg(F.min("root").alias("b"), F.max("root").alias("most")).where("b < most").select(F.col("head").alias("same"), "b")
     merged = components(heads.join(least, heads["head"] == least["same"]).select(F.col("root").alias("a"), "b")).withColumnRenamed("root", "top")
     grouped = placed.join(merged, placed["root"] == merged["node"], "left").select("id", "digest", "size", F.coalesce("top", "root").alias("root"))
     grids = grouped.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("n"), F.ceil(F.sum("size") / block).cast("int").alias("grid")).where("n > 1 and grid > 0")
-    members = grouped.join(grids, grouped["root"] == grids["of"]).select(F.col("id").alias("member"), "digest", "root", "grid")
+    # the key is changed, so that a large group is an ordinary skewed join
+    turned = lambda x: F.col(x).bitwiseXOR(F.lit(_TURN).cast("long"))
+    members = grouped.join(grids.select(turned("of").alias("of"), "grid"), turned("root") == F.col("of")).select(F.col("id").alias("member"), "digest", "root", "grid")
     texts = judged.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sets = texts.join(members, texts["id"] == members["member"]).select("id", "text", "digest", "root", "grid").mapInArrow(_sets_again(shingle), "id long, root long, grid int, hashes binary")
     own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
