@@ -63,7 +63,7 @@ def _after(url: str | Column) -> Column:
 def match(host_col: Column, path_col: Column, given: Sequence[Rule]) -> Column:
     """The name of the longest rule that fits, or null.  Of equally long ones the first stands."""
     out = F.lit(None).cast("string")
-    for r in sorted(given, key=lambda r: len(r.name)):
+    for _, r in sorted(enumerate(given), key=lambda x: (len(x[1].name), -x[0])):
         on_host = (host_col == r.host) | F.endswith(host_col, F.lit(f".{r.host}"))
         out = F.when(on_host & F.startswith(path_col, F.lit(r.path)), F.lit(r.name)).otherwise(out)
     return out
@@ -165,9 +165,18 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     """A model from labelled URLs: at most ``most`` distinct ones, those of the smallest hashes.
 
     The label is 1 for blocked; a URL with several labels counts as blocked if any says so.
+    A threshold on the hash leaves about twice as many, so only these are shuffled; should
+    it leave too few, all are looked at.
     """
-    rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(url_col).alias("url")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    chosen = rows.orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(F.xxhash64(url_col).alias("h"), F.col(url_col).alias("url"), F.col(label_col).alias("y"))
+    n, wanted = rows.agg(F.approx_count_distinct("h")).first()[0], 2 * most + 1000
+
+    def least(some: DataFrame) -> list:
+        return some.groupBy("h", "url").agg((F.max("y") > 0).cast("int").alias("y")).orderBy("h", "url").limit(most).collect()
+
+    chosen = least(rows if n <= wanted else rows.where(F.col("h") < -(1 << 63) + (1 << 64) * wanted // n))
+    if len(chosen) < most and n > wanted:
+        chosen = least(rows)
     return fit([r.url for r in chosen], [r.y for r in chosen])
 
 
@@ -184,9 +193,10 @@ def blocked(url: str | Column, model: Model) -> Column:
 def filter_urls(pages: DataFrame, given: Sequence[Rule], url_col: str = "url", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``probability`` and ``verdict``.
 
-    The longest rule that fits decides; where none does, the model blocks URLs of a
+    The longest rule that fits decides, of equally long ones the first given; where none does, the model blocks URLs of a
     probability of at least ``threshold``.  ``labelled`` (url, blocked) trains the
-    model; by default the URLs that rules decide are the labelled ones.  Null and
+    model; by default the URLs that rules decide are the labelled ones, so that the model carries
+    the rules on to URLs that look alike and knows nothing else.  Null and
     malformed URLs have an empty host and path and go to the model.  Input columns
     named like the new ones are replaced.
     """
@@ -194,7 +204,7 @@ def filter_urls(pages: DataFrame, given: Sequence[Rule], url_col: str = "url", l
     judged = base.withColumn("host", host(f"`{url_col}`")).withColumn("path", path(f"`{url_col}`"))
     judged = judged.withColumn("rule", match(F.col("host"), F.col("path"), given))
     by_rule = F.lit(None).cast("string")
-    for r in given:
+    for r in reversed(given):
         by_rule = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(by_rule)
     if labelled is None:
         labelled = judged.where(F.col("rule").isNotNull()).select(F.col(f"`{url_col}`").alias("url"), (by_rule == "block").cast("int").alias("blocked"))
