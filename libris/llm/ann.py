@@ -8,6 +8,7 @@ and what lies there is ranked by exact cosine.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from libris.llm.common import checkpointed
+from libris.llm.common import checkpointed, smallest
 
 
 @dataclass(frozen=True)
@@ -184,7 +185,7 @@ def nearest(
     vector_col: str = "embedding",
     k: int = 5,
     sample: int = 8192,
-    parts: int = 64,
+    parts: int | None = None,
     target: float = 0.95,
     block: int = 20_000,
 ) -> DataFrame:
@@ -192,13 +193,14 @@ def nearest(
 
     Score is the cosine in double precision, ranked largest first, ties to the
     smaller id.  The router is fitted on the ``sample`` distinct vectors of the
-    smallest hashes, a bound on what the driver holds; every row is indexed.  Equal
+    smallest hashes, a bound on what the driver holds; every row is indexed.  Unless given, there are
+    as many parts as hold 4,096 entries each, 64 at least and one for 16 sample rows at most.  Equal
     vectors are one entry with their k + 1 smallest ids, all that a result can hold
     (each task passes on no more of them), so a vector with a third of all rows is
     one row from there on.  A query visits as many of its most probable parts as
     brought ``target`` recall on the sample, and further ones in that order as long as
-    the parts visited hold fewer than k + 1 rows.  A part of over ``block`` entries is
-    cut into blocks that are searched by different tasks.  Rows whose
+    the parts visited hold fewer than k + 1 rows.  A part of over ``block`` entries, or visited by more queries,
+    is cut into blocks of either side, each pair of which is searched by a task of its own.  Rows whose
     vector is not :func:`valid`, has another length than most, or whose id is null
     take no part.
     """
@@ -211,8 +213,9 @@ def nearest(
     given = given.where(F.size("v") == lengths["d"])
     ranked = given.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = checkpointed(ranked.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("key", F.xxhash64("v")))
-    chosen = entries.orderBy("key", "v").limit(sample).select("v").toPandas()
-    router, probes = fit(np.array(chosen["v"].tolist(), np.float64).reshape(len(chosen), lengths["d"]), parts, target, k)
+    n = entries.count()
+    chosen = smallest(entries.select("key", "v"), "key", sample, n).select("v").toPandas()
+    router, probes = fit(np.array(chosen["v"].tolist(), np.float64).reshape(len(chosen), lengths["d"]), parts or max(64, min(sample // 16, n // 4096)), target, k)
     n_parts = router.parts
 
     @F.arrow_udf("int")
@@ -225,19 +228,28 @@ def nearest(
     grid = np.array([max(1, -(-sizes.get(p, (0, 0))[0] // block)) for p in range(n_parts)])
     rows_in = np.array([sizes.get(p, (0, 0))[1] for p in range(n_parts)], np.int64)
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("array<int>")
     def visits(v: pa.Array) -> pa.Array:
         order = np.argsort(-router.scores(_matrix(v)), axis=1, kind="stable")
         held = np.cumsum(rows_in[order], axis=1)
         n = np.maximum(probes, (held < k + 1).sum(axis=1) + 1)
-        return pa.array([[c for p in row[:m].tolist() if rows_in[p] for c in range(p << 32, (p << 32) + int(grid[p]))] for row, m in zip(order, np.minimum(n, n_parts).tolist(), strict=True)], pa.list_(pa.int64()))
+        return pa.array([[p for p in row[:m].tolist() if rows_in[p]] for row, m in zip(order, np.minimum(n, n_parts).tolist(), strict=True)], pa.list_(pa.int32()))
 
-    blocks = F.element_at(F.array(*[F.lit(int(g)) for g in grid]), F.col("part") + 1)
-    candidates = filed.select(F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.pmod(F.xxhash64("key", F.lit(7)), blocks)).alias("cell"), F.lit(None).cast("long").alias("query"), "v", "ids")
     queries = given.where("q").select("id", "v").dropDuplicates(["id", "v"])
-    asked = queries.withColumn("cell", F.explode(visits("v"))).select("cell", F.col("id").alias("query"), "v", F.lit(None).cast("array<long>").alias("ids"))
+    visiting = checkpointed(queries.withColumn("part", F.explode(visits("v"))))
+    visitors = {r["part"]: r["count"] for r in visiting.groupBy("part").count().collect()}
+    slices = [max(1, -(-visitors.get(p, 0) // block)) for p in range(n_parts)]
 
-    def search(cell: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def of_part(values: Sequence[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("part") + 1)
+
+    block_of, slice_of = F.pmod(F.xxhash64("key", F.lit(7)), of_part(grid)), F.pmod(F.xxhash64("id", "v"), of_part(slices))
+    cell = ("part", "block", "slice")
+    every = lambda values: F.sequence(F.lit(0), of_part(values) - 1)
+    candidates = filed.withColumn("slice", F.explode(every(slices))).select("part", block_of.cast("int").alias("block"), "slice", "v", "ids")
+    asked = visiting.withColumn("block", F.explode(every(grid))).select("part", "block", slice_of.cast("int").alias("slice"), F.col("id").alias("query"), "v")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
         x = np.array(left["v"].tolist(), np.float64)
@@ -259,7 +271,7 @@ def nearest(
                 found += [(who, i, score) for i in ids[entry] if i != who]
         return pd.DataFrame(found, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
-    hits = candidates.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(search, "query_id long, id long, score double")
+    hits = candidates.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInPandas(search, "query_id long, id long, score double")
     hits = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))  # an id may have several vectors
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
