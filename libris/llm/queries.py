@@ -183,6 +183,46 @@ SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE CASE WHEN has_first
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules alone decide of :func:`op4_url_filter`."""
+    judged = op4_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`op7_bpe` decodes."""
+    return op7_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def packing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's pieces of :func:`op9_packing` are the whole of it, and whether its sequences keep to the capacity."""
+    placed = op9_packing(spark, sf_dir)
+    full = placed.groupBy("sequence_id").agg(F.sum("length").alias("ids"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    fits = placed.join(full.select("sequence_id", ((F.col("ids") <= 4096) & (F.col("ids") == F.col("end"))).alias("fits")), "sequence_id")
+    return fits.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole"), F.bool_and("fits").alias("fits"))
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`op10_media` reads back."""
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+#: DuckDB: the five rules, the longest first.
+URL_RULES_SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p)
+SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM r
+"""
+
+MEDIA_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, t, n, greatest(192, (n + 191) // 192 * 192)::BIGINT AS m FROM d)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat(' ', m - n)) AS payload_sha256 FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -194,6 +234,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
+    "url_rules": url_rules,
+    "bpe_round_trip": bpe_round_trip,
+    "packing_whole": packing_whole,
+    "media_payload": media_payload,
 }
 
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "url_rules": URL_RULES_SQL,
+    "bpe_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "packing_whole": "SELECT doc_id, true AS whole, true AS fits FROM documents",
+    "media_payload": MEDIA_SQL,
+}
