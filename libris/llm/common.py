@@ -131,17 +131,32 @@ class Remembered:
     """Ids of chunks of text; those of short chunks seen lately are kept.
 
     A text is a row of chunk numbers, so that the text's own ids are gathered from
-    what is kept without a step per id.  Kept are at most ``most`` chunks of at most ``longest``
-    characters, besides those of the last call; a longer chunk is encoded once a call.
+    what is kept without a step per id.  Kept are chunks of at most ``longest`` characters: once there are
+    ``most``, they become the elder ones, of which only those met again are kept on.  So at most twice as many
+    are held, besides those of the last call.  A longer chunk is encoded once a call.
     """
 
     def __init__(self, encode: Callable[[list[str]], Ragged], most: int, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
         self.numbers, self.ids = _Kept(longest), Ragged.empty()
+        self.elder, self.elder_ids = _Kept(longest), Ragged.empty()
+
+    def _known(self, chunks: list[str]) -> Ragged:
+        """The ids of new chunks, of which some are among the elder ones."""
+        if not self.elder:
+            return self.encode(chunks)
+        at = np.fromiter((self.elder.get(c, -1) for c in chunks), np.int64, len(chunks))
+        old = at >= 0
+        ids = Ragged.joined([self.elder_ids.grouped(at[old], np.ones(int(old.sum()), np.int64)), self.encode([c for c, x in zip(chunks, old.tolist(), strict=True) if not x])])
+        place = np.empty(len(chunks), np.int64)
+        place[old] = np.arange(int(old.sum()))
+        place[~old] = np.arange(int(old.sum()), len(chunks))
+        return ids.grouped(place, np.ones(len(chunks), np.int64))
 
     def encoded(self, chunked: Iterable[Iterable[str]]) -> Ragged:
         """The ids of texts that are given by their chunks."""
         if len(self.numbers) > self.most:
+            self.elder, self.elder_ids = self.numbers, self.ids
             self.numbers, self.ids = _Kept(self.longest), Ragged.empty()
         had = len(self.numbers)
         number = self.numbers.__getitem__
@@ -149,7 +164,7 @@ class Remembered:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         del rows
-        self.ids = Ragged.joined([self.ids, self.encode(list(islice(self.numbers, had, None)))])
+        self.ids = Ragged.joined([self.ids, self._known(list(islice(self.numbers, had, None)))])
         ids = self.ids
         if self.numbers.long:
             ids = Ragged.joined([ids, self.encode(list(self.numbers.long))])

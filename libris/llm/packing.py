@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -15,10 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from libris.llm.common import Numbered, Ragged, Remembered, by_parts, checkpointed, slices, strings
+from libris.llm.common import OWN, Numbered, Ragged, Remembered, by_parts, checkpointed, slices, strings
 
 #: Python's white space that the tokenizer doesn't take for white space.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, whose small letters are the same for Python and the tokenizer."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 class WordCache:
@@ -26,7 +33,7 @@ class WordCache:
 
     The tokenizer also parts letters from what isn't one, so a word's full stops and
     commas at its end are encoded for themselves; it makes letters small, which is done
-    before where all are ASCII.  A text with control characters that only Python takes
+    before where all are of Latin-1.  A text with control characters that only Python takes
     for white space is encoded as a whole.
     """
 
@@ -58,7 +65,7 @@ class WordCache:
         return ids.grouped(np.array(used, np.int64), np.array(sizes, np.int64))
 
     def encode_all(self, texts: Sequence[str]) -> Ragged:
-        return self.kept.encoded([t] if _ODD_SPACE.search(t) else (t.lower() if t.isascii() else t).split() for t in texts)
+        return self.kept.encoded([t] if any(c in t for c in _ODD_SPACE) else (t.lower() if _is_latin(t) else t).split() for t in texts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,7 +91,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             rows = []
             encoded = _cache(path).encode_all(strings(batch.column("text")))
             end = np.array([end_id], "<u4").tobytes()
@@ -244,31 +251,46 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
 def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = 4096, unit: int = 16, bucket_rows: int = 4_000) -> DataFrame:
     """``cut`` (from :func:`pieces`, with any further columns) with ``sequence_id`` and ``offset`` for each piece.
 
-    Lengths are counted in units of ``unit`` ids, rounded up, so the histogram has at
-    most capacity / unit classes whatever the input: it alone goes to the driver, and
+    Lengths are counted in units of ``unit`` ids, rounded up; pieces of up to half a unit are
+    bundled, as many of one length as a unit holds.  So the histogram has few
+    classes whatever the input: it alone goes to the driver, and
     the plan made of it comes back.  A piece finds its place by its rank in its
     class, an order by (hash bucket, id, start): buckets are counted, their counts
     summed up within a class, and pieces ranked within their bucket, so that a class
-    with a third of all pieces still is many tasks.  Offsets are gapless from 0.
+    with a third of all pieces still is many tasks; rows are numbered for that, so
+    an id with a third of all rows is dealt out as well.  Offsets are gapless from 0.
     An empty input gives an empty result.
     """
-    cut = checkpointed(cut)
+    row = f"{OWN}row"
+    columns = cut.columns
+    cut = checkpointed(cut.withColumn(row, F.monotonically_increasing_id()))
     n = cut.count()
-    item = F.ceil(F.col("length") / unit).cast("long")
-    hashed = F.xxhash64(id_col, "start")
+    half = unit // 2
+    item = F.when(F.col("length") <= half, F.col("length")).otherwise(half + F.ceil(F.col("length") / unit)).cast("long")
+    hashed = F.xxhash64(id_col, "start", row)
     items = cut.withColumn("item", item).withColumn("bucket", F.pmod(hashed, F.lit(max(1, -(-n // bucket_rows)))))
     counted = items.groupBy("item", "bucket").agg(F.count("*").alias("n"))
     counted = checkpointed(counted)
-    made = plan({r["item"]: r["n"] for r in counted.groupBy("item").agg(F.sum("n").alias("n")).collect()}, capacity // unit)
+    histogram = {r["item"]: r["n"] for r in counted.groupBy("item").agg(F.sum("n").alias("n")).collect()}
+    # short pieces: how many of a length make a bundle, and the first bundle among the items of one unit
+    per, first, bundles = np.ones(half + 2, np.int64), np.zeros(half + 2, np.int64), 0
+    for length in range(1, half + 2):
+        per[length] = unit // length if length <= half else 1
+        first[length] = bundles
+        bundles += -(-histogram.get(length, 0) // int(per[length]))
+    made = plan({k - half: v for k, v in histogram.items() if k > half + 1} | ({1: bundles} if bundles else {}), capacity // unit)
     before = counted.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("item").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("item", "bucket").orderBy(id_col, "start", "length", "doc_tokens"))
+    own = F.row_number().over(Window.partitionBy("item", "bucket").orderBy(id_col, "start", "length", "doc_tokens", row))
     ranked = items.withColumn("own", own).join(before, ["item", "bucket"]).withColumn("rank", F.col("before") + F.col("own") - 1)
 
     @F.arrow_udf("struct<sequence:long,slot:long>")
     def place(classes: pa.Array, ranks: pa.Array) -> pa.Array:
-        sequence, slot = made.place(classes.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False))
+        item, rank = classes.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
+        short = np.minimum(item, half + 1)
+        sequence, slot = made.place(np.maximum(item - half, 1), first[short] * (item <= half + 1) + rank // per[short])
+        slot = slot * unit + rank % per[short]
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(slot)], names=["sequence", "slot"])
 
     placed = ranked.withColumn("place", place("item", "rank")).withColumn("sequence_id", F.col("place.sequence")).withColumn("slot", F.col("place.slot"))
     in_sequence = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(in_sequence), F.lit(0))).select(*[F.col(f"`{c}`") for c in cut.columns], "sequence_id", "offset")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(in_sequence), F.lit(0))).select(*[F.col(f"`{c}`") for c in columns], "sequence_id", "offset")
